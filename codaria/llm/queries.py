@@ -17,16 +17,42 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codaria.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codaria.llm.near_dedup import NearDedupConfig, near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDedupConfig(percent=85))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is new with each call, so every distinct text is encoded."""
+    import public_tokenizers
+
+    from codaria.llm.storage import new_path
+    from codaria.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codaria.llm.ann import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_substring_dedup": op3_substring_dedup,
+        "op5_mixing": op5_mixing,
         "op6_near_dedup": op6_near_dedup,
+        "op9_token_counts": op9_token_counts,
+        "op10_nearest": op10_nearest,
     }
 
 
