@@ -11,12 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codaria.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codaria.llm.substring_dedup import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codaria.llm.secret_scan import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codaria.llm.mixing import mix_sources
 
@@ -48,7 +60,9 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_secret_scan": op4_secret_scan,
         "op5_mixing": op5_mixing,
         "op6_near_dedup": op6_near_dedup,
         "op9_token_counts": op9_token_counts,
