@@ -25,7 +25,7 @@ WORDS = (
 # Rows that fingers and alphabets run along.
 WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujm", "0123456789")
 # Letters that other characters stand for.
-LEET = str.maketrans("4@83016!57$", "aabeoigists"[:11])
+LEET = str.maketrans("4@83016!57$", "aabeoigists")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}

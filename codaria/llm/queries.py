@@ -17,6 +17,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codaria.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codaria.llm.substring_dedup import remove_repeats
 
@@ -61,6 +67,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_toxicity": op2_toxicity,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_mixing": op5_mixing,

@@ -62,6 +62,7 @@ class Words:
     end: np.ndarray  #: byte after each word
     doc: np.ndarray  #: index of each word's document
     first: np.ndarray  #: words before each document; one entry more than documents
+    text_begin: np.ndarray  #: first byte of each document
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         if not len(self.start):
@@ -100,7 +101,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     end = np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(column)), np.diff(first))
-    return Words(data, start, end, doc, first)
+    return Words(data, start, end, doc, first, offsets[:-1])
 
 
 @np.errstate(over="ignore")
