@@ -47,6 +47,18 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), NearDedupConfig(percent=85))
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codaria.llm.preference import format_pairs, neighbour_pairs
+
+    return format_pairs(neighbour_pairs(_table(spark, sf_dir, "conversations")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codaria.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache is new with each call, so every distinct text is encoded."""
     import public_tokenizers
@@ -72,10 +84,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_mixing": op5_mixing,
         "op6_near_dedup": op6_near_dedup,
+        "op7_preference": op7_preference,
+        "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_nearest": op10_nearest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from codaria.llm import oracles
+
+    return {
+        "op3_substring_dedup": oracles.SUBSTRING,
+        "op5_mixing": oracles.MIXING,
+        "op7_preference": oracles.PREFERENCE,
+        "op8_decontamination": oracles.DECONTAMINATION,
+    }

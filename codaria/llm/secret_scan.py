@@ -80,3 +80,35 @@ def scan_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFra
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + f", base_sha256 string, spans string, found {SPAN_SQL}")
+
+
+def redact_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), mark: str = "[SECRET]") -> DataFrame:
+    """docs with the spans of scan_secrets replaced in text; spans that touch or overlap become one mark.
+
+    All rows and columns stay; a column n_chars follows the text's new length.
+    """
+    at = docs.columns.index("text")
+
+    def clean(text: str | None) -> str | None:
+        spans = sorted((s.start, s.end) for s in secret_spans(text, cfg)) if text else []
+        if not spans:
+            return text
+        out, last, open_end = [], 0, -1
+        for start, end in spans:
+            if start > open_end:
+                out += [text[last:start], mark]
+            open_end = last = max(open_end, end)
+        return "".join(out) + text[last:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch.column(at)):
+                part = batch.slice(a, b - a)
+                texts = pa.array([clean(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
+                yield part.set_column(at, part.schema.field(at), texts)
+
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return out.select(*docs.columns)

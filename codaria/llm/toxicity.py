@@ -30,9 +30,8 @@ class ToxicityConfig:
     train_toxic: int = 800
     train_clean: int = 1600
     threshold: float = 0.3
-    #: A word is labelled toxic from this log-odds and likelihood ratio on.
+    #: A word is labelled toxic from this log-odds on, if its likelihood ratio exceeds twice the logarithm of the number of words tried.
     odds: float = 3.0
-    ratio: float = 20.0
     rounds: int = 60
     span: float = 0.5
 
@@ -104,7 +103,7 @@ def _toxic_words(words: Words, names: list[str], which: np.ndarray, toxic: np.nd
         odds = np.log((pos + 0.5) / (many[0] + 1)) - np.log((neg + 0.5) / (many[1] + 1))
         with np.errstate(divide="ignore", invalid="ignore"):
             parts = [np.where(k > 0, k * np.log(k / ((pos + neg) * m / len(groups))), 0) for k, m in zip((pos, neg), many, strict=True)]
-        chosen = (odds >= cfg.odds) & (2 * sum(parts) >= cfg.ratio)
+        chosen = (odds >= cfg.odds) & (sum(parts) >= np.log(len(index)))
         chosen[index.get("", len(index)) :][:1] = False
         out |= chosen[of_word]
     return out
@@ -185,6 +184,28 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = To
     return docs.withColumn("held_out", held_out("doc_id")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, spans string")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that toxicity_scores would not predict as toxic, with all their columns, in one pass."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, cfg))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        known: dict[int, float] = {}
+        for batch in batches:
+            for a, b in chunks(batch.column(at)):
+                part = batch.slice(a, b - a)
+                if m.chain is None:
+                    score = m.score(np.zeros(b - a), np.zeros(b - a))
+                else:
+                    words = words_of(part.column(at))
+                    emission, which, _ = _lookup(words, known, m.chain)
+                    score = m.score(*_by_document(words, m.chain.marginals(emission[which], _begins(words))))
+                yield part.filter(pa.array(score < cfg.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _lookup(words: Words, known: dict[int, float], chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Emissions of the distinct words, and which one stands at each position; known is a bounded memo by hash."""
     key, first, which = np.unique(words.hashes(0), return_index=True, return_inverse=True)
