@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"\p{L}\p{N}_"
 _WIDE = "\\x1C-\\x1F\\x20\\x85\\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,10 +37,13 @@ def strip(column: Column) -> Column:
     return _re(column, f"^[{SPACE}]+|[{SPACE}]+$")
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
+def nfkc(column: Column) -> Column:
     """Unicode normal form KC; ASCII text is returned as it is."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    def normal(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return F.pandas_udf(normal, StringType())(column)
 
 
 def document_text(text: Column, normal_form: Callable[[Column], Column] = nfkc) -> Column:

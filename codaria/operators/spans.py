@@ -160,7 +160,8 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def split_all_lines(text: Column) -> Column:
     """Lines as str.splitlines breaks them; a line end at the text's end opens no further line."""
-    return F.split(F.regexp_replace(text, "(\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])\\z", ""), "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
+    ends = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+    return F.split(F.regexp_replace(text, f"({ends})\\z", ""), ends)
 
 
 def parentheticals(text: Column) -> Column:
