@@ -6,9 +6,9 @@ offsets, and the count of an anchor is at least that of each window it serves.
 Neighbouring windows share anchors: there are about twelve times fewer anchors
 than windows to count.
 
-1. Each partition sketches its anchors: two rows of cells, counts saturating
+1. Each partition sketches its anchors: three rows of cells, counts saturating
    at 2, sent as sparse blocks. Blocks are merged by key. What is broadcast is
-   one bit a cell (count >= 2), at most 2 * max_cells bits whatever the input.
+   one bit a cell (count >= 2), at most rows * max_cells bits whatever the input.
 2. Windows whose anchor is estimated repeated are grouped exactly by 128-bit
    fingerprint: each partition first unites its own equal windows, so a passage
    in a third of all rows sends one entry a partition. The groups yield only
@@ -41,7 +41,9 @@ _U = np.uint64
 class SubstringConfig:
     window: int = 35
     anchor: int = 12
-    #: Cells of each of the two sketch rows: eight for each expected anchor, within these bounds (powers of two).
+    #: Independent rows of cells; an anchor passes if it does in all.
+    rows: int = 3
+    #: Cells of each row: at least eight for each expected anchor, within these bounds (powers of two).
     min_cells: int = 1 << 20
     max_cells: int = 1 << 28
     block_bits: int = 20
@@ -76,7 +78,7 @@ def _cells(anchor: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, cells: int, cfg: SubstringConfig) -> bytes:
-    """Bits of both rows' cells that hold at least 2, packed; cells * 2 / 8 bytes."""
+    """Bits of all rows' cells that hold at least 2, packed; cells * rows / 8 bytes."""
     bits = min(cfg.block_bits, cells.bit_length() - 1)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +90,7 @@ def _sketch(docs: DataFrame, cells: int, cfg: SubstringConfig) -> bytes:
         if not found:
             return
         anchor = np.concatenate(found)
-        for row in range(2):
+        for row in range(cfg.rows):
             cell, count = np.unique(_cells(anchor, row, cells), return_counts=True)
             packed = ((cell & ((1 << bits) - 1)) << 1 | (count > 1)).astype("<u4")
             block = row * (cells >> bits) + (cell >> bits)
@@ -116,16 +118,16 @@ def _sketch(docs: DataFrame, cells: int, cfg: SubstringConfig) -> bytes:
         return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(seen > 1).tobytes()], pa.binary())], ["block", "bits"])
 
     blocks = docs.select("text").mapInArrow(local, "block long, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
-    out = np.zeros(2 * cells >> 3, np.uint8)
+    out = np.zeros(cfg.rows * cells >> 3, np.uint8)
     size = (1 << bits) >> 3
-    for row in blocks.toLocalIterator():  # 2 * cells / 8 bytes at most
+    for row in blocks.toLocalIterator():  # rows * cells / 8 bytes at most
         out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return out.tobytes()
 
 
-def _passing(anchor: np.ndarray, sketch: np.ndarray, cells: int) -> np.ndarray:
+def _passing(anchor: np.ndarray, sketch: np.ndarray, cells: int, rows: int) -> np.ndarray:
     out = np.ones(len(anchor), bool)
-    for row in range(2):
+    for row in range(rows):
         cell = _cells(anchor, row, cells) + row * cells
         out &= (sketch[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
     return out
@@ -143,7 +145,7 @@ def _refuted(docs: DataFrame, sketch, cells: int, blocks: int, cfg: SubstringCon
             for lo, hi in chunks(batch.column(1)):
                 words = words_of(batch.column(1).slice(lo, hi - lo))
                 value, start, anchor, _ = _anchors(words, cfg)
-                ok = _passing(anchor, bits, cells)
+                ok = _passing(anchor, bits, cells, cfg.rows)
                 if not ok.any():
                     continue
                 second, _ = runs(words.hashes(1), words.doc, cfg.window, 1)
@@ -230,7 +232,7 @@ def remove_repeats(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) ->
                 texts = batch.column(1).slice(lo, hi - lo)
                 words = words_of(texts)
                 _, start, anchor, _ = _anchors(words, cfg)
-                ok = _passing(anchor, bits, cells)
+                ok = _passing(anchor, bits, cells, cfg.rows)
                 edge = np.zeros(len(words.start) + 1, np.int32)
                 np.add.at(edge, start[ok], 1)
                 no = batch.column(2).slice(lo, hi - lo).to_pylist()
