@@ -70,11 +70,12 @@ def contaminated(docs: DataFrame, items: DataFrame, cfg: DecontaminationConfig =
     place = F.row_number().over(Window.partitionBy("item_id").orderBy("h", "gram"))
     sketch = cut(grams.join(size, "item_id").withColumn("place", place).filter("place <= k").groupBy("h").agg(F.collect_set("item_id").alias("ids")))
     top = sketch.agg(F.max("h")).first()[0]
-    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", normal_words(F.col("text").cast("string")).alias("w"))
-    hashes = docs.select("doc_id", F.explode(shingles(F.col("w"), k, F.xxhash64)).alias("h")).filter(F.col("h") <= F.lit(top if top is not None else 0))
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string"))
+    normal = normal_words(F.col("text")).alias("w")
+    hashes = docs.select("doc_id", normal).select("doc_id", F.explode(shingles(F.col("w"), k, F.xxhash64)).alias("h")).filter(F.col("h") <= F.lit(top if top is not None else 0))
     pairs = hashes.join(_maybe_broadcast(sketch, cfg), "h").select("doc_id", F.explode("ids").alias("item_id")).distinct()
     pairs = cut(pairs)
-    held = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", normal)
     held = held.select("doc_id", F.explode(F.array_distinct(shingles(F.col("w"), k, lambda s: F.concat_ws(" ", s)))).alias("gram"))
     by_gram = grams.groupBy("gram").agg(F.collect_set("item_id").alias("ids"))
     shared = held.join(_maybe_broadcast(cut(by_gram), cfg), "gram").distinct().select("doc_id", F.explode("ids").alias("item_id"))
