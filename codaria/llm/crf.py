@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-SEGMENT = 128
+SEGMENT = 48
 # Letters that other characters stand for.
 LEET = str.maketrans("4@83016!57$", "aabeoigists")
 OUTER = re.compile(r"[\W_]+")
@@ -48,7 +48,7 @@ def _messages(trans: np.ndarray) -> np.ndarray:
     m00, m01, m10, m11 = np.ones(width), np.zeros(width), np.zeros(width), np.ones(width)
     for t in range(SEGMENT):
         m00, m01, m10, m11 = m00 * a[t] + m01 * c[t], m00 * b[t] + m01 * d[t], m10 * a[t] + m11 * c[t], m10 * b[t] + m11 * d[t]
-        if t % 16 == 15:
+        if t % 12 == 11:
             s = m00 + m01 + m10 + m11
             m00, m01, m10, m11 = m00 / s, m01 / s, m10 / s, m11 / s
     first = np.empty((width, 2))
@@ -98,11 +98,35 @@ class Chain:
 
     def marginals(self, emission: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Probability of the toxic state for each word, by forward-backward."""
-        if not len(emission):
-            return np.zeros(0)
-        f, b = self.messages(emission, begins)
-        p = f * b
-        return p[:, 1] / p.sum(axis=1)
+        out = np.zeros(len(emission))
+        for lo, hi in _blocks(begins) if len(emission) else ():
+            f, b = self.messages(emission[lo:hi], begins[lo:hi])
+            p = f * b
+            out[lo:hi] = p[:, 1] / p.sum(axis=1)
+        return out
+
+
+def _blocks(begins: np.ndarray, size: int = 1 << 16) -> list[tuple[int, int]]:
+    """Ranges of whole documents of about size words; a longer document is one."""
+    edges = np.append(np.flatnonzero(begins), len(begins))
+    out, lo = [], 0
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a > lo and b - lo > size:
+            out.append((lo, int(a)))
+            lo = int(a)
+    return [*out, (lo, len(begins))]
+
+
+def _expected(chain: Chain, emission: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of the toxic state, and expected counts of transitions and of first states."""
+    f, b = chain.messages(emission, begins)
+    p = f * b
+    p = p[:, 1] / p.sum(axis=1)
+    e = 1 / (1 + np.exp(-np.clip(emission, -30, 30)))
+    inner = np.flatnonzero(~begins)
+    pair = f[inner - 1][:, :, None] * np.exp(chain.trans)[None] * (np.stack([1 - e, e], axis=1) * b)[inner][:, None, :]
+    pair = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return p, pair, np.array([(1 - p[begins]).sum(), p[begins].sum()])
 
 
 def fit_chain(words: list[str], which: np.ndarray, begins: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: float = 0.3, ridge: float = 2e-4) -> Chain:
@@ -111,27 +135,26 @@ def fit_chain(words: list[str], which: np.ndarray, begins: np.ndarray, labels: n
     flat = np.array([s for row in slots for s in row])
     owner = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
     n, y = len(which), labels.astype(np.int64)
-    inner = np.flatnonzero(~begins)
     chain = Chain(np.zeros(SLOTS), np.zeros((2, 2)), np.zeros(2))
     seen = np.unique(flat)
     slot_of = np.searchsorted(seen, flat)
     params = np.zeros(len(seen) + 6)
     m, v = np.zeros_like(params), np.zeros_like(params)
+    inner = np.flatnonzero(~begins)
     observed_pair = np.bincount(2 * y[inner - 1] + y[inner], minlength=4).reshape(2, 2)
     observed_start = np.bincount(y[begins], minlength=2)
+    blocks = _blocks(begins)
     for step in range(1, rounds + 1):
         chain.weights[seen] = params[:-6]
         chain.trans = params[-6:-2].reshape(2, 2)
         chain.start = params[-2:]
-        emission = np.bincount(owner, chain.weights[flat], len(words))[which]
-        f, b = chain.messages(emission, begins)
-        p = f * b
-        p = p[:, 1] / p.sum(axis=1)
-        e = 1 / (1 + np.exp(-np.clip(emission, -30, 30)))
-        pair = f[inner - 1][:, :, None] * np.exp(chain.trans)[None] * (np.stack([1 - e, e], axis=1) * b)[inner][:, None, :]
-        pair = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        start = np.array([(1 - p[begins]).sum(), p[begins].sum()])
-        by_word = np.bincount(which, y - p, len(words))
+        of_word = np.bincount(owner, chain.weights[flat], len(words))
+        by_word, pair, start = np.zeros(len(words)), np.zeros((2, 2)), np.zeros(2)
+        for lo, hi in blocks:  # whole documents; bounds the messages held at once
+            p, own_pair, own_start = _expected(chain, of_word[which[lo:hi]], begins[lo:hi])
+            by_word += np.bincount(which[lo:hi], y[lo:hi] - p, len(words))
+            pair += own_pair
+            start += own_start
         grad = np.concatenate([np.bincount(slot_of, by_word[owner], len(seen)), (observed_pair - pair).ravel(), observed_start - start]) / n
         grad -= ridge * params / len(seen)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad

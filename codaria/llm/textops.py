@@ -27,6 +27,8 @@ MIX1 = _U(0xBF58476D1CE4E5B9)
 MIX2 = _U(0x94D049BB133111EB)
 #: Bytes of text whose temporary arrays are held at once.
 CHUNK_BYTES = 2 << 20
+#: Words hashed at once.
+HASH_WORDS = 1 << 18
 
 
 @np.errstate(over="ignore")
@@ -67,14 +69,15 @@ class Words:
     def hashes(self, seed: int = 0) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, _U)
-        length = self.end - self.start
-        total = int(length.sum())
-        at = np.cumsum(length) - length
-        within = np.arange(total) - np.repeat(at, length)
-        byte = self.data[within + np.repeat(self.start, length)]
-        powers = _powers(BASES[seed], int(length.max()))
-        terms = TABLES[seed][byte] * powers[within]
-        return mix(np.add.reduceat(terms, at) + length.astype(_U) * GOLD)
+        out = np.empty(len(self.start), _U)
+        for lo in range(0, len(out), HASH_WORDS):
+            start, length = self.start[lo : lo + HASH_WORDS], (self.end - self.start)[lo : lo + HASH_WORDS]
+            at = np.cumsum(length) - length
+            within = np.arange(int(length.sum())) - np.repeat(at, length)
+            byte = self.data[within + np.repeat(start, length)]
+            terms = TABLES[seed][byte] * _powers(BASES[seed], int(length.max()))[within]
+            out[lo : lo + HASH_WORDS] = mix(np.add.reduceat(terms, at) + length.astype(_U) * GOLD)
+        return out
 
 
 def words_of(column: pa.Array, lower: bool = False) -> Words:
