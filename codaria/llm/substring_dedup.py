@@ -183,6 +183,7 @@ def _refuted(docs: DataFrame, sketch, cells: int, blocks: int, cfg: SubstringCon
             yield single(held)
 
     def single(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        """Windows with one occurrence, packed by the bucket of their document."""
         a, b, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -193,16 +194,38 @@ def _refuted(docs: DataFrame, sketch, cells: int, blocks: int, cfg: SubstringCon
         mine = order[alone]
         mine = mine[at[mine] >= 0]
         key, at = key[mine], at[mine]
+        bucket = (mix(key.view(_U)) % _U(blocks)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        key, at, bucket = key[order], at[order], bucket[order]
+        edge = np.flatnonzero(np.diff(bucket)) + 1
+        names = bucket[np.concatenate([[0], edge]).astype(np.int64)] if len(bucket) else bucket
+        packed = [[p.tobytes() for p in np.split(x, edge)] if len(bucket) else [] for x in (key, at)]
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], ["bucket", "row_key", "at"])
+
+    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a document; rows come sorted by bucket."""
+        now, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != now and held:
+                    yield documents(held)
+                    held = []
+                now = row["bucket"]
+                held.append((np.frombuffer(row["row_key"], "<i8"), np.frombuffer(row["at"], "<i4")))
+        if held:
+            yield documents(held)
+
+    def documents(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, at = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         edge = np.flatnonzero(np.diff(key)) + 1
-        keys = key[np.concatenate([[0], edge]).astype(np.int64)] if len(key) else key
-        parts = np.split(at, edge) if len(key) else []
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([p.tobytes() for p in parts], pa.binary())], ["row_key", "at"])
+        parts = [p.tobytes() for p in np.split(at, edge)]
+        return pa.RecordBatch.from_arrays([pa.array(key[np.concatenate([[0], edge]).astype(np.int64)]), pa.array(parts, pa.binary())], ["row_key", "at"])
 
     schema = "block long, " + ", ".join(f"{f} binary" for f in fields)
     dealt = docs.select("row_key", "text").mapInArrow(local, schema)
-    return dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(group, "row_key long, at binary")
+    return dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(group, "bucket long, row_key binary, at binary").repartition(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(by_document, "row_key long, at binary")
 
 
 def remove_repeats(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFrame:
@@ -223,7 +246,7 @@ def remove_repeats(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) ->
     blocks = max(8, text_bytes // cfg.block_bytes)
     sketch = spark.sparkContext.broadcast(_sketch(docs, cells, cfg))
     refuted = cut(_refuted(docs, sketch, cells, blocks, cfg))
-    merged = refuted.groupBy("row_key").agg(F.collect_list("at").alias("refuted"))
+    merged = refuted.withColumnRenamed("at", "refuted")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sketch.value, np.uint8)
@@ -236,7 +259,7 @@ def remove_repeats(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) ->
                 edge = np.zeros(len(words.start) + 1, np.int32)
                 np.add.at(edge, start[ok], 1)
                 no = batch.column(2).slice(lo, hi - lo).to_pylist()
-                gone = [np.frombuffer(part, "<i4") + words.first[i] for i, parts in enumerate(no) if parts for part in parts]
+                gone = [np.frombuffer(part, "<i4") + words.first[i] for i, part in enumerate(no) if part]
                 if gone:
                     np.subtract.at(edge, np.concatenate(gone), 1)
                 covered = np.cumsum(edge[:-1])
