@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codaria.llm.boosting import BoostedTrees
-from codaria.llm.spans import SPAN_SQL, Span, digests, emails, luhn
+from codaria.llm.spans import SPAN_SQL, Span, Taken, digests, emails, luhn
 from codaria.llm.textops import chunks
 
 BASE = ("email", "ip", "card", "phone")
@@ -172,11 +172,11 @@ def pii_spans(text: str, model: BoostedTrees, cfg: PiiConfig = PiiConfig()) -> l
     least = dict(cfg.thresholds)
     p = model.probability(np.array([features(text, *c) for c in proposed]))
     chosen: list[Span] = []
-    taken = sorted((s.start, s.end) for s in found)
+    taken = Taken((s.start, s.end) for s in found)
     for (start, end, kind), score in sorted(zip(proposed, p, strict=True), key=lambda x: (-x[1], x[0])):
-        if score >= least[kind] and not any(a < end and start < b for a, b in taken):
+        if score >= least[kind] and not taken.overlaps(start, end):
             chosen.append(Span(start, end, kind, True, float(score)))
-            taken.append((start, end))
+            taken.add(start, end)
     return found + chosen
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codaria.llm.guesses import guess_bits
-from codaria.llm.spans import SPAN_SQL, Span, digests
+from codaria.llm.spans import SPAN_SQL, Span, Taken, digests
 from codaria.llm.textops import chunks
 
 BASE = ("assign", "access", "hex")
@@ -47,10 +47,10 @@ def secret_spans(text: str, cfg: SecretConfig = SecretConfig()) -> list[Span]:
     """Base spans, and spans of kind guess: values whose guess cost is high and that no base span overlaps."""
     found = base_spans(text)
     if ":" in text or "=" in text:
-        taken = [(s.start, s.end) for s in found]
+        taken = Taken((s.start, s.end) for s in found)
         for m in CONTEXT.finditer(text):
             begin, end = m.span(m.lastindex)
-            if end - begin < cfg.least_chars or any(a < end and begin < b for a, b in taken):
+            if end - begin < cfg.least_chars or taken.overlaps(begin, end):
                 continue
             value = text[begin:end]
             if " " in value.strip() and value.count(" ") > 3:  # a quoted sentence

@@ -133,15 +133,15 @@ def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], cfg: T
 
 
 def train(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fits on labels(doc_id, toxic) of documents that are not held out."""
+    """Fits on labels(doc_id, toxic) of documents that are not held out; of several texts of an id, on the smallest."""
     known = labels.filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"), F.md5(F.col("doc_id").cast("string")).alias("place"))
     known = known.join(docs.filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
     known = cut(known)
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = known.filter("toxic").orderBy("place").limit(cfg.train_toxic).union(known.filter("NOT toxic").orderBy("place").limit(cfg.train_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("place", "toxic", "text").collect()
-    rows = sorted({(r["place"], r["toxic"], r["text"]) for r in rows if r["text"] is not None})
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = sorted(texts.groupBy("place", "toxic").agg(F.min("text").alias("text")).collect())
     n = max(1, sum(count.values()))
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], bool), (count.get(False, 0) / n, count.get(True, 0) / n), cfg)
 

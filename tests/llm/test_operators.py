@@ -160,6 +160,23 @@ def test_pii(spark, none):
     assert score(yes, "phone") > 0.9 > score(no, "phone")
 
 
+def test_taken_ranges_match_a_scan():
+    from codaria.llm.spans import Taken
+
+    rng = random.Random(5)
+    for _ in range(200):
+        own = [(a, a + rng.randint(1, 6)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        taken = Taken(own)
+        for _ in range(20):
+            a = rng.randrange(60)
+            b = a + rng.randint(1, 6)
+            assert taken.overlaps(a, b) == any(x < b and a < y for x, y in own)
+            if not taken.overlaps(a, b):
+                taken.add(a, b)
+                own.append((a, b))
+        assert not taken.overlaps(100, 101)
+
+
 def test_boosting_on_held_out_templates():
     from codaria.llm.pii import _templates, features, trained
 
@@ -348,6 +365,8 @@ def test_toxicity(spark, none):
     kept = {r["doc_id"] for r in drop_toxic(df, lab).collect()}
     assert kept == {i for i, y in labels if not y} | {900, 901}
     assert toxicity_scores(none, lab).count() == 0
+    twice = {r["doc_id"]: r["predicted"] for r in toxicity_scores(df.unionByName(df), lab).collect()}
+    assert twice == {k: r["predicted"] for k, r in got.items()}
     assert {r["predicted"] for r in toxicity_scores(df, lab.filter("toxic = 0")).collect()} == {0}
     assert toxicity_scores(df, lab.filter("doc_id = -1")).count() == len(data)
 
