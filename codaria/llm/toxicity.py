@@ -4,7 +4,7 @@ Labels are of documents. Words are labelled from them: a word of a toxic
 document is toxic if documents that hold it are toxic far more often than
 others (log-odds and likelihood ratio over groups of similar texts, so that
 copies count once). The CRF learns those labels from form and neighbours. A
-logistic model of the marginals' sum and largest value gives a document's score.
+logistic model of the marginals' sum, largest value and share of the words gives a document's score.
 The fit uses at most train_toxic + train_clean documents, by order of the MD5 of
 their id; its classes are weighed back to their shares of all labels.
 """
@@ -44,10 +44,10 @@ class ToxicityModel:
     weights: np.ndarray
     prior: float
 
-    def score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
+    def score(self, total: np.ndarray, most: np.ndarray, size: np.ndarray) -> np.ndarray:
         if self.chain is None:
             return np.full(len(total), self.prior)
-        return 1 / (1 + np.exp(-(_inputs(total, most) @ self.weights)))
+        return 1 / (1 + np.exp(-(_inputs(total, most, size) @ self.weights)))
 
 
 def held_out(doc_id):
@@ -55,17 +55,17 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _inputs(total: np.ndarray, most: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(total)), np.log1p(total), most], axis=1)
+def _inputs(total: np.ndarray, most: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(total)), np.log1p(total), most, np.log1p(1000 * total / np.maximum(size, 1))], axis=1)
 
 
-def _by_document(words: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and largest of the marginals of each document."""
+def _by_document(words: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum and largest of the marginals of each document, and its number of words."""
     n = len(words.first) - 1
     total = np.bincount(words.doc, p, n) if len(p) else np.zeros(n)
     most = np.zeros(n)
     np.maximum.at(most, words.doc, p)
-    return total, most
+    return total, most, np.diff(words.first)
 
 
 def _begins(words: Words) -> np.ndarray:
@@ -100,7 +100,10 @@ def _toxic_words(words: Words, names: list[str], which: np.ndarray, toxic: np.nd
         of_word = np.array([index[k] for k in keys])
         seen = np.unique(np.stack([of_word[which], group[words.doc]]), axis=1)
         pos, neg = np.bincount(seen[0], label[seen[1]], len(index)), np.bincount(seen[0], ~label[seen[1]], len(index))
-        odds = np.log((pos + 0.5) / (many[0] + 1)) - np.log((neg + 0.5) / (many[1] + 1))
+        # a syllable that clean words also begin with tells by how many different words of a text do so
+        form = np.unique(np.stack([of_word[which], which, group[words.doc]]), axis=1)
+        most, least = (np.bincount(form[0], y[form[2]], len(index)) for y in (label, ~label))
+        odds = np.log((most + 0.5) / (many[0] + 1)) - np.log((least + 0.5) / (many[1] + 1))
         with np.errstate(divide="ignore", invalid="ignore"):
             parts = [np.where(k > 0, k * np.log(k / ((pos + neg) * m / len(groups))), 0) for k, m in zip((pos, neg), many, strict=True)]
         chosen = (odds >= cfg.odds) & (sum(parts) >= np.log(len(index)))
@@ -112,20 +115,19 @@ def _toxic_words(words: Words, names: list[str], which: np.ndarray, toxic: np.nd
 def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """shares: the parts of clean and toxic documents among all labels."""
     if not toxic.any() or toxic.all():
-        return ToxicityModel(None, np.zeros(3), float(toxic.mean()) if len(toxic) else 0.0)
+        return ToxicityModel(None, np.zeros(4), float(toxic.mean()) if len(toxic) else 0.0)
     words = words_of(pa.array(texts, pa.large_string()))
     names, which, _ = _distinct(words)
     bad = _toxic_words(words, names, which, toxic, cfg)
     begins = _begins(words)
     chain = fit_chain(names, which, begins, bad[which] & toxic[words.doc], cfg.rounds)
     emission = np.array([chain.emission(w) for w in names])[which]
-    total, most = _by_document(words, chain.marginals(emission, begins))
-    x, y = _inputs(total, most), toxic.astype(float)
+    x, y = _inputs(*_by_document(words, chain.marginals(emission, begins))), toxic.astype(float)
     weight = np.where(toxic, shares[1] / toxic.mean(), shares[0] / (1 - toxic.mean()))
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3), x.T @ (weight * (y - p)) - 0.5 * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(x.shape[1]), x.T @ (weight * (y - p)) - 0.5 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -168,13 +170,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = To
                 words = words_of(batch.column(1).slice(a, b - a))
                 n = b - a
                 if m.chain is None:
-                    total, most, spans = np.zeros(n), np.zeros(n), [""] * n
+                    found, spans = (np.zeros(n),) * 3, [""] * n
                 else:
                     names, which, key = _lookup(words, known, m.chain)
                     p = m.chain.marginals(names[which], _begins(words))
-                    total, most = _by_document(words, p)
+                    found = _by_document(words, p)
                     spans = _spans(words, p >= cfg.span, n)
-                score = m.score(total, most)
+                score = m.score(*found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(score), pa.array((score >= cfg.threshold).astype(np.int32)), pa.array(spans, pa.string())],
                     ["doc_id", "held_out", "score", "predicted", "spans"],
@@ -196,7 +198,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxicit
             for a, b in chunks(batch.column(at)):
                 part = batch.slice(a, b - a)
                 if m.chain is None:
-                    score = m.score(np.zeros(b - a), np.zeros(b - a))
+                    score = m.score(*(np.zeros(b - a),) * 3)
                 else:
                     words = words_of(part.column(at))
                     emission, which, _ = _lookup(words, known, m.chain)
