@@ -31,10 +31,9 @@ def document_links(docs: DataFrame, codes: DataFrame, k: int = 20) -> DataFrame:
     """TF-IDF and BM25 links of docs(doc_id, retrieval_text, normalized_text) to codes(code_3char, search_text)."""
     text = docs.select("doc_id", query_text(F.col("retrieval_text"), F.col("normalized_text")).alias("q"))
     out = []
-    for method, tokens, score in (("tfidf", word_tokens, retrieval.tfidf), ("bm25", space_tokens, retrieval.bm25)):
-        q = retrieval.term_counts(text, "doc_id", tokens(F.col("q")))
+    for method, tokens in (("tfidf", word_tokens), ("bm25", space_tokens)):
         c = retrieval.term_counts(codes, "code_3char", tokens(F.col("search_text")))
-        top = retrieval.top_k(score(q, c, "doc_id", "code_3char"), "doc_id", "code_3char", k)
+        top = retrieval.search(text, "doc_id", tokens(F.col("q")), c, "code_3char", method, k)
         none = F.lit(None)
         out.append(top.select("doc_id", none.cast("string").alias("mention_id"), "code_3char", F.lit(method).alias("method"), "score", none.cast("int").alias("char_start"), none.cast("int").alias("char_end")))
     return out[0].unionByName(out[1])

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codaria.functions.text import fold_key
 
-#: Rows of a dictionary that may be broadcast for a join without keys.
-BROADCAST_ROWS = 200_000
+#: Keys, and characters of keys, that one automaton may hold.
+KEY_ROWS, KEY_CHARS = 200_000, 4_000_000
 
 
 def title_entries(codes: DataFrame) -> DataFrame:
@@ -106,21 +108,77 @@ def _sorted(column: str):
     return F.array_join(F.array_sort(F.array_remove(F.split(F.trim(column), r"\s+"), "")), " ")
 
 
-def title_containment(docs: DataFrame, titles: DataFrame) -> DataFrame:
-    """doc_id, code, score for titles that a document's text(doc_id, text) has as a substring.
+class Needles:
+    """Keys and, once asked for in a process, their automaton."""
 
-    Of a code's titles the first in dictionary order counts. Score: ten times the
-    share of the text that the title is, from 0.3 to 1. The titles' side is
-    broadcast only within BROADCAST_ROWS; beyond that it is cut into pieces.
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+        self.machine = None
+
+    def within(self, text: str) -> set[int]:
+        if self.machine is None:
+            self.machine = ahocorasick.Automaton()
+            for i, key in enumerate(self.keys):
+                if key:
+                    self.machine.add_word(key, i)
+            self.machine.make_automaton()
+        found = {i for _, i in self.machine.iter(text)} if len(self.machine) else set()
+        return found | {i for i, key in enumerate(self.keys[:1]) if not key}
+
+    def __getstate__(self) -> list[str]:
+        return self.keys
+
+    def __setstate__(self, keys: list[str]) -> None:
+        self.__init__(keys)
+
+
+def contained_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, key, total: each of keys(key) that the text of a row of docs(doc_id, text) has as a substring, once, with the text's length.
+
+    One pass over each text with an automaton of all keys, so the cost is that of
+    the text and its finds, whatever the number of keys. The automaton is sent to
+    executors within KEY_ROWS keys and KEY_CHARS characters; beyond them the keys
+    are cut into pieces by hash, and each piece is one more pass. Null keys and
+    texts have no finds; an empty key is in every text.
     """
-    docs = docs.select("doc_id", F.lower("text").alias("text"))
-    n = titles.count()
-    parts = max(1, -(-n // BROADCAST_ROWS))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    keys = keys.select("key").filter("key IS NOT NULL").distinct()
+    size = keys.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
+    parts = max(1, -(-size[0] // KEY_ROWS), -(-size[1] // KEY_CHARS))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     found = None
     for part in range(parts):
-        piece = titles if parts == 1 else titles.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
-        hit = docs.join(F.broadcast(piece), F.contains(docs["text"], piece["key"])).select("doc_id", "code", "first_place", F.length("key").alias("len"), F.length("text").alias("total"))
+        piece = keys.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == part) if parts > 1 else keys
+        needles = docs.sparkSession.sparkContext.broadcast(Needles(sorted(r[0] for r in piece.collect())))
+        hit = docs.mapInArrow(_finder(needles), f"doc_id {kind}, key string, total int")
         found = hit if found is None else found.unionByName(hit)
+    return found
+
+
+def _finder(needles):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = needles.value
+        for batch in batches:
+            row, key, total = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                for j in known.within(text):
+                    row.append(i)
+                    key.append(known.keys[j])
+                    total.append(len(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(key, pa.string()), pa.array(total, pa.int32())], ["doc_id", "key", "total"])
+
+    return run
+
+
+def title_containment(docs: DataFrame, titles: DataFrame) -> DataFrame:
+    """doc_id, code, score for titles that a document's text(doc_id, text) has as a substring.
+
+    Of a code's titles the first in dictionary order counts. Score: ten times the
+    share of the text that the title is, from 0.3 to 1.
+    """
+    found = contained_keys(docs.select("doc_id", F.lower("text").alias("text")), titles).join(titles, "key")
+    found = found.select("doc_id", "code", "first_place", F.length("key").alias("len"), "total")
     first = found.groupBy("doc_id", "code").agg(F.min(F.struct("first_place", "len", "total")).alias("f"))
     raw = F.least(F.col("f.len") / F.greatest(F.col("f.total"), F.lit(1)) * 10, F.lit(1.0))
     return first.select("doc_id", "code", F.greatest(raw, F.lit(0.3)).alias("score"))

@@ -115,9 +115,8 @@ def _space(x: str) -> str:
     " FROM qt JOIN ct USING (term) JOIN df USING (term) JOIN dl ON dl.code = ct.code, n, a GROUP BY ALL)" + _TOP
 )
 def bm25_topk(spark, sf_dir):
-    q = retrieval.term_counts(document_queries(spark, sf_dir), "doc_id", T.space_tokens(F.col("q")))
     c = retrieval.term_counts(codes(spark, sf_dir), "code_3char", T.space_tokens(F.col("search_text")))
-    top = retrieval.top_k(retrieval.bm25(q, c, "doc_id", "code_3char"), "doc_id", "code_3char", 20)
+    top = retrieval.search(document_queries(spark, sf_dir), "doc_id", T.space_tokens(F.col("q")), c, "code_3char", "bm25", 20)
     return top.select("doc_id", "code_3char", "rank", F.round("score", 6).alias("score"))
 
 
@@ -132,9 +131,8 @@ def _wide(x: str) -> str:
     "s AS (SELECT doc_id, code, sum((wq.w / nq) * (wd.w / nd)) AS raw FROM wq JOIN nq USING (doc_id) JOIN wd USING (term) JOIN nd USING (code) GROUP BY ALL)" + _TOP
 )
 def tfidf_topk(spark, sf_dir):
-    q = retrieval.term_counts(document_queries(spark, sf_dir), "doc_id", T.word_tokens(F.col("q")))
     c = retrieval.term_counts(codes(spark, sf_dir), "code_3char", T.word_tokens(F.col("search_text")))
-    top = retrieval.top_k(retrieval.tfidf(q, c, "doc_id", "code_3char"), "doc_id", "code_3char", 20)
+    top = retrieval.search(document_queries(spark, sf_dir), "doc_id", T.word_tokens(F.col("q")), c, "code_3char", "tfidf", 20)
     return top.select("doc_id", "code_3char", "rank", F.round("score", 6).alias("score"))
 
 
@@ -384,7 +382,8 @@ def _predicted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     scores = doc_title_containment(spark, sf_dir).withColumnRenamed("code", "label")
     docs = document_queries(spark, sf_dir)
     items = codes(spark, sf_dir).select(F.col("code_3char").alias("label"), T.retrieval_text(F.col("text")).alias("t"))
-    targets = docs.join(F.broadcast(items), F.contains(docs["q"], items["t"])).select("doc_id", "label")
+    found = lexicon.contained_keys(docs.withColumnRenamed("q", "text"), items.withColumnRenamed("t", "key"))
+    targets = found.join(items, found["key"] == items["t"]).select("doc_id", "label")
     return scores, targets, scores.select("doc_id").distinct()
 
 

@@ -91,9 +91,9 @@ def retrieval_predictions(docs: DataFrame, codes: DataFrame, predicted: int = 5,
     """doc_id, model_name, predicted_codes, ranked of each model, tfidf and bm25; documents without hits have no row."""
     text = docs.select("doc_id", T.query_text(F.col("retrieval_text"), F.col("normalized_text")).alias("q"))
     out = None
-    for name, tokens, score in (("tfidf", T.word_tokens, retrieval.tfidf), ("bm25", T.space_tokens, retrieval.bm25)):
-        q, c = retrieval.term_counts(text, "doc_id", tokens(F.col("q"))), retrieval.term_counts(codes, "code_3char", tokens(F.col("search_text")))
-        top = retrieval.top_k(score(q, c, "doc_id", "code_3char"), "doc_id", "code_3char", scores)
+    for name, tokens in (("tfidf", T.word_tokens), ("bm25", T.space_tokens)):
+        c = retrieval.term_counts(codes, "code_3char", tokens(F.col("search_text")))
+        top = retrieval.search(text, "doc_id", tokens(F.col("q")), c, "code_3char", name, scores)
         rows = rule_based.predictions(top.select("doc_id", F.col("code_3char").alias("code"), "score"), predicted, scores).withColumn("model_name", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out

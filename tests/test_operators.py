@@ -67,6 +67,33 @@ def test_retrieval(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 21])
+def test_search_by_index_equals_search_by_join(spark, monkeypatch, cells):
+    words = "a b c d e f g h".split()
+    q = spark.createDataFrame([(i, " ".join(words[(i * k) % 8] for k in range(i % 6))) for i in range(30)] + [(99, None), (98, "zzz zzz")], "q_id long, q string")
+    c = retrieval.term_counts(spark.createDataFrame([(j, " ".join(words[(j * k + 1) % 7] for k in range(1, j))) for j in range(2, 12)], "item long, s string"), "item", T.space_tokens(F.col("s")))
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    for method in ("bm25", "tfidf"):
+        found = []
+        for limit in (2_000_000, 3):
+            monkeypatch.setattr(retrieval, "POSTINGS", limit)
+            rows = retrieval.search(q, "q_id", T.space_tokens(F.col("q")), c, "item", method, 4).collect()
+            found.append(sorted((r["q_id"], r["rank"], r["item"], round(r["raw"], 8), round(r["score"], 8)) for r in rows))
+        assert found[0] == found[1] and len(found[0]) > 40
+        assert retrieval.search(q.limit(0), "q_id", T.space_tokens(F.col("q")), c, "item", method, 4).count() == 0
+        assert retrieval.search(q, "q_id", T.space_tokens(F.col("q")), c.limit(0), "item", method, 4).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 100])
+def test_contained_keys(spark, monkeypatch, limit):
+    texts = [(1, "sốt rét ác tính"), (2, "rét"), (2, "sốt"), (3, None), (4, ""), (5, "tt" * 5000 + "sốt rét")]
+    keys = ["sốt", "rét", "t", "sốt rét", "", "ính", None, "rét"]
+    monkeypatch.setattr(lexicon, "KEY_ROWS", limit)
+    got = lexicon.contained_keys(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    want = sorted((i, k, len(t)) for i, t in texts for k in {x for x in keys if x is not None} if t is not None and k in t)
+    assert sorted((r["doc_id"], r["key"], r["total"]) for r in got.collect()) == want
+
+
 def test_candidates_and_fuzzy(spark):
     def textbook(a, b):
         row = [0] * (len(b) + 1)
