@@ -467,3 +467,164 @@ def en_vi_full_outer(spark, sf_dir):
     a = table(spark, sf_dir, "customer").filter("c_nationkey % 3 != 0").groupBy(F.col("c_nationkey").alias("code")).agg(F.min("c_name").alias("vi"))
     b = table(spark, sf_dir, "supplier").filter("s_nationkey % 4 != 0").groupBy(F.col("s_nationkey").alias("code")).agg(F.min("s_name").alias("title_en"))
     return a.join(b, "code", "full").select("code", F.coalesce(F.nullif("vi", F.lit("")), "title_en").alias("title"), "title_en")
+
+
+_TOKENS = "SELECT doc_id, len({0}) AS n, len(list_distinct({0})) AS n_distinct FROM (SELECT doc_id, {1} AS t FROM documents)"
+
+
+@query(_TOKENS.format("t", "coalesce(" + _space("text") + ", [])"))
+def whitespace_tokens(spark, sf_dir):
+    return _token_counts(spark, sf_dir, T.space_tokens)
+
+
+@query(_TOKENS.format("t", "coalesce(" + _wide("text") + ", [])"))
+def word_tokens(spark, sf_dir):
+    return _token_counts(spark, sf_dir, T.word_tokens)
+
+
+def _token_counts(spark, sf_dir, tokens) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, {sql_strip(rf"regexp_replace(regexp_replace(text, '[\x{{200b}}-\x{{200f}}\x{{feff}}\x{{ad}}\x{{202a}}-\x{{202e}}]', '', 'g'), '{S}+', ' ', 'g')")} AS mention FROM documents")
+def normalize_mention(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.mention_text(F.col("text")).alias("mention"))
+
+
+_COLLAPSED = sql_strip(f"regexp_replace(lower(text), '{S}+', ' ', 'g')")
+
+
+@query(f"SELECT doc_id, {sql_strip(f"regexp_replace({_COLLAPSED}, '[.,;:]+$', '')")} AS alias_norm, {sql_strip("regexp_replace(lower(text), ' {2,}', ' ', 'g')")} AS ontology_norm FROM documents")
+def alias_keys(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.alias_key(text).alias("alias_norm"), T.ontology_alias_key(text).alias("ontology_norm"))
+
+
+_PAGE = f"regexp_replace({sql_strip("replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))")}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT doc_id, {_PAGE} AS page, regexp_replace({_PAGE}, ' {{2,}}', ' ', 'g') AS guidance FROM documents")
+def page_text(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.page_text(text).alias("page"), T.page_text(text, True).alias("guidance"))
+
+
+@query(f"SELECT doc_id, substring(sha256({sql_strip(f"regexp_replace(text, '{S}+', ' ', 'g')")}), 1, 8) AS hash8, sha256(text) AS sha256 FROM documents")
+def text_digests(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.hash8(T.rule_text(text)).alias("hash8"), F.sha2(text, 256).alias("sha256"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size <= 22 THEN 'Ch-' || p_size END AS chapter_id, CASE WHEN p_partkey % 3 = 0 THEN 'NOS' WHEN p_partkey % 3 = 1 THEN 'KXĐK' END AS nos FROM part WHERE p_size <= 24")
+def chapter_and_nos(spark, sf_dir):
+    roman = F.element_at(F.array(*[F.lit(r) for r in (*T.ROMAN, "XXIII", "IXX")]), F.col("p_size").cast("int"))
+    form = F.concat("p_name", F.element_at(F.array(F.lit(" nos, x"), F.lit(" (kxđk)"), F.lit(" nosy")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return table(spark, sf_dir, "part").filter("p_size <= 24").select("p_partkey", T.chapter_id(roman).alias("chapter_id"), T.nos_form(form).alias("nos"))
+
+
+_BRIEF = sql_strip(f"regexp_replace(substring(code || ' | ' || text, 1, 256), '{S}+', ' ', 'g')")
+
+
+@query(f"WITH {SQL_CODES} SELECT code, code || ' | ' || title || ' | ' || title || '.' AS search_text, concat_ws(chr(10), code, nullif(title, ''), nullif({_BRIEF}, '')) AS prompt FROM codes")
+def search_text_and_prompt(spark, sf_dir):
+    c = codes(spark, sf_dir)
+    made = T.search_text(F.col("code_3char"), F.col("title_vi"), F.col("title_en"), F.array(F.concat("title_vi", F.lit("."))))
+    return c.select(F.col("code_3char").alias("code"), made.alias("search_text"), T.label_prompt(F.col("code_3char"), F.col("title_vi"), F.col("title_en"), F.col("search_text")).alias("prompt"))
+
+
+@query("SELECT user_id AS page_no, max_by('page ' || event_id, event_id) AS raw_text FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def page_last_wins(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return ontology.latest_pages(e.select(F.col("user_id").alias("page_no"), F.concat(F.lit("page "), F.col("event_id").cast("string")).alias("raw_text"), F.col("event_id").alias("ordinal")))
+
+
+_GUIDE = (("low", ("he", "la "), 5, 40), ("high", ("er",), 30, 90))
+
+
+@query(
+    "WITH t(topic, words, low, high) AS (VALUES "
+    + ", ".join(f"('{t}', {list(k)!r}, {a}, {b})" for t, k, a, b in _GUIDE)
+    + """) SELECT 'book:intro_guidance:' || topic AS doc_id, min(doc_id)::BIGINT AS page_start, max(doc_id)::BIGINT AS page_end, min(doc_id) || '-' || max(doc_id) AS page_span, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS raw_text
+FROM documents JOIN t ON doc_id >= low AND doc_id < high AND len(list_filter(words, lambda w: contains(lower(text), w))) > 0 GROUP BY topic"""
+)
+def topic_guidance(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_no"), F.col("text").alias("raw_text"))
+    return ontology.guidance(pages, "book", _GUIDE).select("doc_id", "page_start", "page_end", "page_span", "raw_text")
+
+
+@query(
+    r"""WITH m AS (SELECT doc_id, w AS abbr, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS n FROM (SELECT DISTINCT c_custkey AS doc_id, unnest(['AB' || chr((65 + c_custkey % 7)::INT), 'ZZ', 'QQ']) AS w FROM customer)),
+d AS (SELECT c_custkey AS doc_id, 'AB' || chr((65 + c_custkey % 7)::INT) AS abbr, 'full form' AS f FROM customer WHERE c_custkey % 2 = 0)
+SELECT m.doc_id, abbr, coalesce(d.f, CASE WHEN abbr IN ('ABA', 'ZZ') THEN 'from seed' END, lower(abbr)) AS normalized_text FROM m LEFT JOIN d USING (doc_id, abbr)"""
+)
+def abbreviation_resolution(spark, sf_dir):
+    own = F.concat(F.lit("AB"), F.char(F.lit(65) + F.col("c_custkey") % 7))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), own.alias("own"))
+    docs = c.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("full form ("), "own", F.lit(")"))).otherwise("none").alias("raw_text"))
+    m = c.select("doc_id", F.explode(F.array(F.col("own"), F.lit("ZZ"), F.lit("QQ"))).alias("text")).withColumn("normalized_text", F.lower("text")).withColumn("mention_type", F.lit("abbreviation"))
+    seed = spark.createDataFrame([("aba", "from seed"), ("ZZ", "from seed")], "abbr string, expansion string")
+    return spans.resolve_abbreviations(m, docs, seed).select("doc_id", F.col("text").alias("abbr"), "normalized_text")
+
+
+_SCORES = f"""{SQL_LINKS}, {SQL_MERGED}, s AS (SELECT doc_id, code_3char AS label, max(score)::DOUBLE AS score FROM merged GROUP BY 1, 2),
+t AS (SELECT DISTINCT user_id AS doc_id, {SQL_CODE.format('(event_id % 13)')} AS label FROM events)"""
+
+
+def _link_scores(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    s = merged_links(spark, sf_dir).groupBy("doc_id", F.col("code_3char").alias("label")).agg(F.max("score").alias("score"))
+    return s, table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), code_of(F.col("event_id") % 13).alias("label")).distinct()
+
+
+@query(
+    f"""WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rn FROM s)
+SELECT doc_id, string_agg(label, ',' ORDER BY rn) FILTER (rn <= 5) AS predicted, count(*) AS n_scores, max(score) AS best FROM r GROUP BY doc_id"""
+)
+def prediction_lists(spark, sf_dir):
+    s, _ = _link_scores(spark, sf_dir)
+    p = rule_based.predictions(s.withColumnRenamed("label", "code"), 5)
+    return p.select("doc_id", F.array_join("predicted_codes", ",").alias("predicted"), F.size("ranked").cast("long").alias("n_scores"), F.element_at("ranked", 1)["score"].alias("best"))
+
+
+@query(
+    f"""WITH {_SCORES}, r AS (SELECT doc_id, label FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) <= 3),
+h AS (SELECT doc_id, count(*) AS hits FROM r JOIN t USING (doc_id, label) GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1)
+SELECT round(avg(coalesce(hits, 0) / 3), 6) AS precision_at_k, round(avg(coalesce(hits, 0) / n), 6) AS recall_at_k FROM n LEFT JOIN h USING (doc_id)"""
+)
+def precision_recall_at_k(spark, sf_dir):
+    out = metrics.at_k(*_link_scores(spark, sf_dir), 3)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(
+    f"""WITH {_SCORES}, d AS (SELECT DISTINCT doc_id FROM s), l AS (SELECT label FROM s UNION SELECT label FROM t),
+c AS (SELECT l.label, coalesce(s.score, 0.0) AS score, (t.label IS NOT NULL)::INT AS y FROM l CROSS JOIN d LEFT JOIN s ON s.doc_id = d.doc_id AND s.label = l.label LEFT JOIN t ON t.doc_id = d.doc_id AND t.label = l.label),
+a AS (SELECT p.label, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END) AS auroc FROM c p JOIN c n ON p.label = n.label AND p.y = 1 AND n.y = 0 GROUP BY 1)
+SELECT CASE WHEN count(*) = (SELECT count(*) FROM l) THEN round(avg(auroc), 6) ELSE 'NaN'::DOUBLE END AS macro_auroc FROM a"""
+)
+def macro_auroc(spark, sf_dir):
+    s, t = _link_scores(spark, sf_dir)
+    out = metrics.macro_auroc(metrics.auroc(s, t, s.select("doc_id").distinct()))
+    return out.select(F.round("macro_auroc", 6).alias("macro_auroc"))
+
+
+@query(f"WITH {_SCORES}, {SQL_CODES} SELECT label AS code_3char, count(*) AS n FROM t WHERE label NOT IN (SELECT code FROM codes WHERE ordinal % 4 <> 1) GROUP BY 1")
+def label_audit(spark, sf_dir):
+    """Labels whose code is not in the book, by code."""
+    _, t = _link_scores(spark, sf_dir)
+    return weak_labels.unknown_codes(t.withColumnRenamed("label", "code_3char"), codes(spark, sf_dir).filter("ordinal % 4 != 1"))
+
+
+@query("SELECT label AS doc_id, (d - 1)::INT AS dim, round(arg_min(embedding[d]::DOUBLE, vec_id), 6) AS value FROM embeddings, unnest(range(1, 65)) AS u(d) GROUP BY 1, 2")
+def cls_pool(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    first = t.groupBy("doc_id").agg(F.min("pos").alias("least"))
+    t = t.join(first, "doc_id").withColumn("pos", F.col("pos") - F.col("least")).drop("least")
+    return vectors.pool(t, "cls").select("doc_id", "dim", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH x AS ({SQL['bm25_topk']}), y AS ({SQL['tfidf_topk']}) SELECT doc_id, code_3char, 'bm25' AS method, score FROM x UNION ALL SELECT doc_id, code_3char, 'tfidf', score FROM y")
+def document_candidates(spark, sf_dir):
+    docs = document_queries(spark, sf_dir).select("doc_id", F.col("q").alias("retrieval_text"), F.col("q").alias("normalized_text"))
+    out = candidates.document_links(docs, codes(spark, sf_dir))
+    return out.select("doc_id", "code_3char", "method", F.round("score", 6).alias("score"))
