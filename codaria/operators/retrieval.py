@@ -149,6 +149,9 @@ def search(docs: DataFrame, query: str, tokens: Column, corpus: DataFrame, item:
     without a positive score give none. method: "bm25" or "tfidf".
     """
     posting = {"bm25": bm25_postings, "tfidf": tfidf_postings}[method](corpus, item)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a small file is one split, but its ranking is worth all cores
+        docs = docs.repartition(cores)
     docs = docs.select(query, tokens.alias("tokens"))
     if corpus.limit(POSTINGS + 1).count() > POSTINGS:
         counts = term_counts(docs, query, F.col("tokens"))
