@@ -327,7 +327,7 @@ def _pages(spark, sf_dir) -> DataFrame:
     """A conversation is a page; each turn a line, every third one a code line of its own."""
     c = table(spark, sf_dir, "conversations")
     head = F.when(F.col("turn") % 3 == 0, F.concat(code_of(F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(60))), F.lit(" "))).when(F.col("turn") % 3 == 1, F.lit("Includes: ")).otherwise(F.lit(""))
-    line = F.concat(head, F.regexp_replace(F.substring("text", 1, 40), r"\s+", " "))
+    line = F.concat(head, F.regexp_replace("text", r"\s+", " "))
     rows = c.groupBy(F.col("conv_id").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
     return rows.select("page_no", F.array_join(F.transform("l", lambda x: F.trim(x["line"])), "\n").alias("raw_text"))
 
