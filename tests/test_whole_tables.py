@@ -36,3 +36,12 @@ def test_lines_are_whole_turns(spark, name, tmp_path):
     assert same_rows(spark, name, without(name, TURN), tmp_path) > 0
     if name == "lookahead_block":
         assert max(len(r["evidence_text"]) for r in queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()) > 200
+
+
+RULES = (" WHERE p_partkey % 97 < 3", "")
+
+
+@pytest.mark.parametrize("name", ["rule_adjustment", "weak_label_ranks", "rule_based_predictions"])
+def test_rules_are_all_parts(spark, name, tmp_path):
+    assert queries.rules(spark, "/root/testdata/sf0.001").count() == 200
+    same_rows(spark, name, without(name, RULES), tmp_path)
