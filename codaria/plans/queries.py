@@ -440,7 +440,7 @@ FROM e JOIN e q ON q.vec_id < 5 AND q.vec_id <> e.vec_id) SELECT query_id, id, s
 )
 def cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vectors.cosine_to(e, e.filter("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 10)
+    return vectors.cosine_to(e, e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q")), 10)
 
 
 @query(
@@ -449,7 +449,7 @@ s AS (SELECT doc_id, label, v, list_dot_product(q, v) AS s FROM t, q), e AS (SEL
 SELECT doc_id, label, (d - 1)::INT AS dim, round(sum(a * v[d]), 6) AS value FROM a, unnest(range(1, 65)) AS u(d) GROUP BY 1, 2, 3"""
 )
 def label_attention(spark, sf_dir):
-    q = table(spark, sf_dir, "embeddings").filter("vec_id < 3").select(F.col("vec_id").alias("label"), F.col("embedding").alias("query"))
+    q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("label"), F.col("embedding").alias("query"))
     return vectors.label_attention(_tokens(spark, sf_dir), q).select("doc_id", "label", "dim", F.round("value", 6).alias("value"))
 
 
@@ -464,8 +464,8 @@ def split_manifest(spark, sf_dir):
 FULL JOIN (SELECT s_nationkey, min(s_name) AS n FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1) b ON a.c_nationkey = b.s_nationkey"""
 )
 def en_vi_full_outer(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_nationkey % 3 != 0").groupBy(F.col("c_nationkey").alias("code")).agg(F.min("c_name").alias("vi"))
-    b = table(spark, sf_dir, "supplier").filter("s_nationkey % 4 != 0").groupBy(F.col("s_nationkey").alias("code")).agg(F.min("s_name").alias("title_en"))
+    a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("code")).agg(F.min("c_name").alias("vi"))
+    b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("code")).agg(F.min("s_name").alias("title_en"))
     return a.join(b, "code", "full").select("code", F.coalesce(F.nullif("vi", F.lit("")), "title_en").alias("title"), "title_en")
 
 
@@ -518,9 +518,9 @@ def text_digests(spark, sf_dir):
 
 @query(f"SELECT p_partkey, CASE WHEN p_size <= 22 THEN 'Ch-' || p_size END AS chapter_id, CASE WHEN p_partkey % 3 = 0 THEN 'NOS' WHEN p_partkey % 3 = 1 THEN 'KXĐK' END AS nos FROM part WHERE p_size <= 24")
 def chapter_and_nos(spark, sf_dir):
-    roman = F.element_at(F.array(*[F.lit(r) for r in (*T.ROMAN, "XXIII", "IXX")]), F.col("p_size").cast("int"))
+    roman = F.get(F.array(*[F.lit(r) for r in (*T.ROMAN, "XXIII", "IXX")]), F.col("p_size").cast("int") - 1)
     form = F.concat("p_name", F.element_at(F.array(F.lit(" nos, x"), F.lit(" (kxđk)"), F.lit(" nosy")), (F.col("p_partkey") % 3 + 1).cast("int")))
-    return table(spark, sf_dir, "part").filter("p_size <= 24").select("p_partkey", T.chapter_id(roman).alias("chapter_id"), T.nos_form(form).alias("nos"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.chapter_id(roman).alias("chapter_id"), T.nos_form(form).alias("nos"))
 
 
 _BRIEF = sql_strip(f"regexp_replace(substring(code || ' | ' || text, 1, 256), '{S}+', ' ', 'g')")
@@ -612,7 +612,7 @@ def macro_auroc(spark, sf_dir):
 def label_audit(spark, sf_dir):
     """Labels whose code is not in the book, by code."""
     _, t = _link_scores(spark, sf_dir)
-    return weak_labels.unknown_codes(t.withColumnRenamed("label", "code_3char"), codes(spark, sf_dir).filter("ordinal % 4 != 1"))
+    return weak_labels.unknown_codes(t.withColumnRenamed("label", "code_3char"), codes(spark, sf_dir))
 
 
 @query("SELECT label AS doc_id, (d - 1)::INT AS dim, round(arg_min(embedding[d]::DOUBLE, vec_id), 6) AS value FROM embeddings, unnest(range(1, 65)) AS u(d) GROUP BY 1, 2")

@@ -45,3 +45,28 @@ RULES = (" WHERE p_partkey % 97 < 3", "")
 def test_rules_are_all_parts(spark, name, tmp_path):
     assert queries.rules(spark, "/root/testdata/sf0.001").count() == 200
     same_rows(spark, name, without(name, RULES), tmp_path)
+
+
+WHOLE = {
+    "cosine_topk": [("q.vec_id < 5", "q.vec_id % 20 = 0")],
+    "label_attention": [(" WHERE vec_id < 3", "")],
+    "chapter_and_nos": [(" WHERE p_size <= 24", "")],
+    "en_vi_full_outer": [(" WHERE c_nationkey % 3 <> 0", ""), (" WHERE s_nationkey % 4 <> 0", "")],
+    "label_audit": [(" WHERE ordinal % 4 <> 1", "")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_rows_are_of_whole_tables(spark, name, tmp_path):
+    for cut, _ in WHOLE[name]:
+        assert cut in queries.SQL[name]
+    same_rows(spark, name, without(name, *WHOLE[name]), tmp_path)
+
+
+def test_missing_partners(spark, tmp_path):
+    spark.createDataFrame([(1, "c1"), (2, "")], "c_nationkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(2, "s2"), (3, "s3")], "s_nationkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(tuple(r) for r in queries.en_vi_full_outer(spark, str(tmp_path)).collect()) == [(1, "c1", None), (2, "s2", "s2"), (3, "s3", "s3")]
+    spark.createDataFrame([(0, "a"), (1, "b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 7) for i in (0, 1, 2, 15)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in queries.label_audit(spark, str(tmp_path)).collect()] == [("A02", 1)]
