@@ -44,13 +44,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 def secret_spans(text: str, cfg: SecretConfig = SecretConfig()) -> list[Span]:
-    """Base spans, and spans of kind guess: values whose guess cost is high and that no base span overlaps."""
+    """Base spans, and spans of kind guess: values whose guess cost is high and that no base span holds whole."""
     found = base_spans(text)
     if ":" in text or "=" in text:
         taken = Taken((s.start, s.end) for s in found)
         for m in CONTEXT.finditer(text):
             begin, end = m.span(m.lastindex)
-            if end - begin < cfg.least_chars or taken.overlaps(begin, end):
+            if end - begin < cfg.least_chars or taken.covers(begin, end):
                 continue
             value = text[begin:end]
             if " " in value.strip() and value.count(" ") > 3:  # a quoted sentence

@@ -59,6 +59,11 @@ class Taken:
         i = bisect_right(self.ends, start)
         return i < len(self.starts) and self.starts[i] < end
 
+    def covers(self, start: int, end: int) -> bool:
+        """Whether one of these holds the whole range."""
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] <= start and end <= self.ends[i]
+
     def add(self, start: int, end: int) -> None:
         """Adds a range that overlaps none of these."""
         i = bisect_right(self.starts, start)
