@@ -22,7 +22,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 CONTEXT = re.compile(
     r"""(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|auth(?:orization)?|bearer|credentials?|private[ _-]?key)"""
-    r"""["']?[\x20\t]{0,8}(?:[:=]|=>|:=)[\x20\t]{0,8}(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]+))"""
+    r"""["']?[\x20\t]{0,8}(?::=|=>|={1,3}|:)[\x20\t]{0,8}(?:(?ai:bearer|basic)[\x20\t]{1,8})?(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;<>]+))"""
 )
 
 
@@ -52,10 +52,7 @@ def secret_spans(text: str, cfg: SecretConfig = SecretConfig()) -> list[Span]:
             begin, end = m.span(m.lastindex)
             if end - begin < cfg.least_chars or taken.covers(begin, end):
                 continue
-            value = text[begin:end]
-            if " " in value.strip() and value.count(" ") > 3:  # a quoted sentence
-                continue
-            bits = guess_bits(value)
+            bits = guess_bits(text[begin:end])
             if bits >= cfg.bits:
                 found.append(Span(begin, end, "guess", True, bits))
     return found
