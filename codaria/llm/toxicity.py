@@ -27,12 +27,12 @@ from codaria.llm.textops import Words, chunks, shingle_sets, words_of
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    train_toxic: int = 500
-    train_clean: int = 1000
+    train_toxic: int = 800
+    train_clean: int = 1600
     threshold: float = 0.3
     #: A word is labelled toxic from this log-odds on, if its likelihood ratio exceeds twice the logarithm of the number of words tried.
     odds: float = 3.0
-    rounds: int = 40
+    rounds: int = 60
     span: float = 0.5
 
 
