@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir.
+
+    One of our own only where that is unset and driver and executors are one
+    process; on a cluster without it there is no folder that all see, so it raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         found = context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="codaria-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -30,3 +36,10 @@ def cut(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path that new_path gave, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,23 +6,28 @@ offsets, and the count of an anchor is at least that of each window it serves.
 Neighbouring windows share anchors: there are about twelve times fewer anchors
 than windows to count.
 
-1. Each partition sketches its anchors: three rows of cells, counts saturating
-   at 2, sent as sparse blocks. Blocks are merged by key. What is broadcast is
-   one bit a cell (count >= 2), at most rows * max_cells bits whatever the input.
+The rows are dealt to chunks of bounded size, written once as a table bucketed by
+chunk, so every later pass reads a chunk where it is and texts move once.
+
+1. Each chunk sketches its anchors: three rows of cells, counts saturating at 2,
+   sent as sparse blocks of cells. Blocks are merged by key. The answer to a
+   chunk is one bit for each cell that it sent: whether the merged count is 2 or
+   more. Cells grow with the input and no task or broadcast holds the sketch, so
+   it answers as sharply for any input.
 2. Windows whose anchor is estimated repeated are grouped exactly by 128-bit
-   fingerprint: each partition first unites its own equal windows, so a passage
-   in a third of all rows sends one entry a partition. The groups yield only
-   the windows that the sketch wrongly passed: those with one occurrence.
-3. A last pass removes the words of the windows that passed and weren't refuted.
+   fingerprint: each chunk first unites its own equal windows, so a passage in a
+   third of all rows sends one entry a chunk. The answer is again one bit for each
+   entry that the chunk sent: whether its window occurs more than once.
+3. A last pass removes the words of the windows that are repeated.
 
-The sketch only overestimates, so no repeated window is lost; with more input
-than max_cells suits, more windows go through step 2 and the result is the same.
+A chunk's entries are sorted sets, so it finds again which bit is whose from its
+rows alone. The sketch only overestimates, so no repeated window is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
 from dataclasses import dataclass
 from itertools import compress
 
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codaria.llm.storage import cut
+from codaria.llm.storage import cut, new_path
 from codaria.llm.textops import GOLD, Words, chunks, mix, runs, words_of
 
 _U = np.uint64
@@ -43,12 +48,24 @@ class SubstringConfig:
     anchor: int = 12
     #: Independent rows of cells; an anchor passes if it does in all.
     rows: int = 3
-    #: Cells of each row: at least eight for each expected anchor, within these bounds (powers of two).
-    min_cells: int = 1 << 20
-    max_cells: int = 1 << 28
-    block_bits: int = 20
-    #: Expected bytes of text an exact-grouping block answers for.
+    #: Cells of a row for each expected anchor, before rounding up to a power of two.
+    cells_per_anchor: int = 8
+    min_cells: int = 1 << 16
+    #: Bytes of text that a chunk holds on average, that a bucket of chunks does, and that a grouping block answers for.
+    chunk_bytes: int = 8 << 20
+    bucket_bytes: int = 32 << 20
     block_bytes: int = 16 << 20
+    #: Spark's own limit.
+    max_buckets: int = 100_000
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Cells of a sketch row, their number in a block as a power of two, and blocks of exact grouping."""
+
+    cells: int
+    bits: int
+    blocks: int
 
 
 def _anchors(words: Words, cfg: SubstringConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,155 +94,171 @@ def _cells(anchor: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(anchor + _U(row + 1) * GOLD) & _U(cells - 1)).astype(np.int64)
 
 
-def _sketch(docs: DataFrame, cells: int, cfg: SubstringConfig) -> bytes:
-    """Bits of all rows' cells that hold at least 2, packed; cells * rows / 8 bytes."""
-    bits = min(cfg.block_bits, cells.bit_length() - 1)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
-        for batch in batches:
-            for a, b in chunks(batch.column(0)):
-                _, _, anchor, at = _anchors(words_of(batch.column(0).slice(a, b - a)), cfg)
-                found.append(anchor[np.unique(at, return_index=True)[1]])
-        if not found:
-            return
-        anchor = np.concatenate(found)
-        for row in range(cfg.rows):
-            cell, count = np.unique(_cells(anchor, row, cells), return_counts=True)
-            packed = ((cell & ((1 << bits) - 1)) << 1 | (count > 1)).astype("<u4")
-            block = row * (cells >> bits) + (cell >> bits)
-            edge = np.flatnonzero(np.diff(block)) + 1
-            parts = np.split(packed, edge)
-            keys = block[np.concatenate([[0], edge]).astype(np.int64)] if len(block) else block
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "cells"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key not in state and len(state) == 1:  # rows come sorted by block
-                    yield answer(state)
-                    state = {}
-                seen = state.setdefault(key, np.zeros(1 << bits, np.uint8))
-                v = np.frombuffer(data, "<u4")
-                seen[v >> 1] = np.minimum(seen[v >> 1] + 1 + (v & 1), 2)
-        if state:
-            yield answer(state)
-
-    def answer(state: dict[int, np.ndarray]) -> pa.RecordBatch:
-        ((key, seen),) = state.items()
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(seen > 1).tobytes()], pa.binary())], ["block", "bits"])
-
-    blocks = docs.select("text").mapInArrow(local, "block long, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
-    out = np.zeros(cfg.rows * cells >> 3, np.uint8)
-    size = (1 << bits) >> 3
-    for row in blocks.toLocalIterator():  # rows * cells / 8 bytes at most
-        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return out.tobytes()
-
-
-def _passing(anchor: np.ndarray, sketch: np.ndarray, cells: int, rows: int) -> np.ndarray:
-    out = np.ones(len(anchor), bool)
-    for row in range(rows):
-        cell = _cells(anchor, row, cells) + row * cells
-        out &= (sketch[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+def _bucketed(docs: DataFrame, cfg: SubstringConfig) -> tuple[DataFrame, Layout]:
+    """docs with a chunk, as a table bucketed by it; rows are dealt by their place, so copies spread like all others."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // cfg.bucket_bytes), cfg.max_buckets)
+    chunks_ = max(4 * buckets, size // cfg.chunk_bytes)
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks_)).cast("int")
+    name = f"codaria_{uuid.uuid4().hex}"
+    dealt = docs.withColumn("chunk", chunk).repartition(buckets, "chunk")
+    dealt.write.bucketBy(buckets, "chunk").option("path", new_path(spark, "chunks")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and the plan knows them
+    expected = size // 6 * 2 // (cfg.window - cfg.anchor + 2)
+    cells = 1 << max(cfg.cells_per_anchor * expected, cfg.min_cells).bit_length()
+    groups = max(1, size // cfg.bucket_bytes).bit_length()
+    return table, Layout(cells, max(0, cells.bit_length() - 1 - groups), max(8, size // cfg.block_bytes))
+
+
+@dataclass
+class Piece:
+    """Some texts of a chunk, with their windows."""
+
+    lo: int
+    hi: int
+    words: Words
+    value: np.ndarray
+    start: np.ndarray
+    anchor: np.ndarray
+    at: np.ndarray
+
+
+def _pieces(text: pa.Array, cfg: SubstringConfig) -> list[Piece]:
+    out = []
+    for lo, hi in chunks(text):
+        words = words_of(text.slice(lo, hi - lo))
+        out.append(Piece(lo, hi, words, *_anchors(words, cfg)))
     return out
 
 
-def _refuted(docs: DataFrame, sketch, cells: int, blocks: int, cfg: SubstringConfig) -> DataFrame:
-    """Windows that pass the sketch but occur once: row_key, and their first words as packed int32."""
-    fields = ["a", "b", "row_key", "at"]
-    kinds = {"a": "<u8", "b": "<u8", "row_key": "<i8", "at": "<i4"}
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sketch.value, np.uint8)
-        found: list[list[np.ndarray]] = []
-        for batch in batches:
-            for lo, hi in chunks(batch.column(1)):
-                words = words_of(batch.column(1).slice(lo, hi - lo))
-                value, start, anchor, _ = _anchors(words, cfg)
-                ok = _passing(anchor, bits, cells, cfg.rows)
-                if not ok.any():
-                    continue
-                second, _ = runs(words.hashes(1), words.doc, cfg.window, 1)
-                doc = words.doc[start[ok]]
-                key = batch.column(0).slice(lo, hi - lo).to_numpy()[doc]
-                found.append([value[ok], second[ok], key, (start[ok] - words.first[doc]).astype(np.int32)])
-        if not found:
-            return
-        a, b, key, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((b, a))
-        a, b, key, at = a[order], b[order], key[order], at[order]
-        edge = np.append(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, len(a))
-        first = np.concatenate([[0], edge[:-1]])
-        at = np.where(edge - first > 1, -1, at[first]).astype(np.int32)  # -1: repeated already here
-        a, b, key = a[first], b[first], key[first]
-        block = (a % _U(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        at_block = np.searchsorted(block[order], np.arange(blocks + 1))
-        for i in range(blocks):
-            mine = order[at_block[i] : at_block[i + 1]]
-            if len(mine):
-                columns = dict(zip(fields, (a[mine], b[mine], key[mine], at[mine]), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *(pa.array([columns[f].astype(kinds[f]).tobytes()], pa.binary()) for f in fields)], ["block", *fields])
-
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != now and held:
-                    yield single(held)
-                    held = []
-                now = row["block"]
-                held.append([np.frombuffer(row[f], kinds[f]) for f in fields])
-        if held:
-            yield single(held)
-
-    def single(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        """Windows with one occurrence, packed by the bucket of their document."""
-        a, b, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+def _column(table: pa.Table, name: str) -> pa.Array:
+    found = table.column(name).combine_chunks()
+    return found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+
+
+def _joined(parts: list[np.ndarray], kind=_U) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _sent(pieces: list[Piece], lay: Layout, cfg: SubstringConfig) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row of the sketch a chunk's distinct cells, sorted, their block, and whether the chunk counts 2 or more there."""
+    anchor = _joined([p.anchor[np.unique(p.at, return_index=True)[1]] for p in pieces])
+    out = []
+    for row in range(cfg.rows):
+        cell, count = np.unique(_cells(anchor, row, lay.cells), return_counts=True)
+        out.append((cell, row * (lay.cells >> lay.bits) + (cell >> lay.bits), count > 1))
+    return out
+
+
+def _cut_at(key: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal keys of a sorted array."""
+    edge = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    return list(zip(edge, edge[1:], strict=False)) if len(key) else []
+
+
+def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
+    if not table.num_rows:
+        return {}
+    return {b: bits for k, b, bits in zip(table["kind"].to_pylist(), table["block"].to_pylist(), table["bits"].to_pylist(), strict=True) if k == kind}
+
+
+def _decoded(block: np.ndarray, bits: dict[int, bytes]) -> np.ndarray:
+    """The answers' bits for entries whose sorted blocks these are."""
+    parts = [np.unpackbits(np.frombuffer(bits[int(block[a])], np.uint8), count=b - a).view(bool) for a, b in _cut_at(block)]
+    return _joined(parts, bool)
+
+
+@dataclass
+class Windows:
+    """A chunk's distinct windows that pass the sketch, sorted by block and hash; of each passing window of a piece, which one it is."""
+
+    a: np.ndarray
+    b: np.ndarray
+    block: np.ndarray
+    twice: np.ndarray
+    which: np.ndarray
+    ok: list[np.ndarray]
+
+
+def _windows(pieces: list[Piece], bits: dict[int, bytes], lay: Layout, cfg: SubstringConfig) -> Windows:
+    ok = [np.ones(len(p.anchor), bool) for p in pieces]
+    for row, (cell, block, _) in enumerate(_sent(pieces, lay, cfg)):
+        passed = _decoded(block, bits)
+        for p, o in zip(pieces, ok, strict=True):
+            if len(p.anchor):
+                o &= passed[np.searchsorted(cell, _cells(p.anchor, row, lay.cells))]
+    a = _joined([p.value[o] for p, o in zip(pieces, ok, strict=True)])
+    b = _joined([runs(p.words.hashes(1), p.words.doc, cfg.window, 1)[0][o] for p, o in zip(pieces, ok, strict=True) if o.any()])
+    block = (a % _U(lay.blocks)).astype(np.int64)
+    order = np.lexsort((b, a, block))
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    return Windows(a[first], b[first], block[first], np.bincount(which, minlength=len(first)) > 1, which, ok)
+
+
+def _sketch_bits(table: DataFrame, lay: Layout, cfg: SubstringConfig) -> DataFrame:
+    """chunk, kind 0, block, bits: of each cell that a chunk sent, whether its merged count is 2 or more."""
+
+    def send(group: pa.Table) -> pa.Table:
+        chunk, keys, parts = group["chunk"][0].as_py(), [], []
+        for cell, block, twice in _sent(_pieces(_column(group, "text"), cfg), lay, cfg):
+            packed = ((cell & ((1 << lay.bits) - 1)) << 1 | twice).astype("<u4")
+            for a, b in _cut_at(block):
+                keys.append(int(block[a]))
+                parts.append(packed[a:b].tobytes())
+        return pa.table({"chunk": pa.array([chunk] * len(keys), pa.int32()), "block": pa.array(keys, pa.int64()), "cells": pa.array(parts, pa.binary())})
+
+    def merge(group: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(c, "<u4") for c in group["cells"].to_pylist()]
+        seen = np.zeros(1 << lay.bits, np.uint8)
+        for v in sent:  # cells of one chunk are distinct
+            seen[v >> 1] = np.minimum(seen[v >> 1] + 1 + (v & 1).astype(np.uint8), 2)
+        bits = [np.packbits(seen[v >> 1] > 1).tobytes() for v in sent]
+        return pa.table({"chunk": group["chunk"], "kind": pa.array([0] * len(bits), pa.int32()), "block": group["block"], "bits": pa.array(bits, pa.binary())})
+
+    sent = table.groupBy("chunk").applyInArrow(send, "chunk int, block long, cells binary")
+    return sent.groupBy("block").applyInArrow(merge, _BITS)
+
+
+_BITS = "chunk int, kind int, block long, bits binary"
+
+
+def _window_bits(table: DataFrame, sketch: DataFrame, lay: Layout, cfg: SubstringConfig) -> DataFrame:
+    """chunk, kind 1, block, bits: of each window that a chunk sent, whether it occurs more than once."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, a, b, twice = [], [], [], []
+        if left.num_rows:
+            w = _windows(_pieces(_column(left, "text"), cfg), _answers(right, 0), lay, cfg)
+            for lo, hi in _cut_at(w.block):
+                keys.append(int(w.block[lo]))
+                a.append(w.a[lo:hi].astype("<u8").tobytes())
+                b.append(w.b[lo:hi].astype("<u8").tobytes())
+                twice.append(np.packbits(w.twice[lo:hi]).tobytes())
+        chunk = left["chunk"][0].as_py() if left.num_rows else 0
+        return pa.table({"chunk": pa.array([chunk] * len(keys), pa.int32()), "block": pa.array(keys, pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "twice": pa.array(twice, pa.binary())})
+
+    def group(entries: pa.Table) -> pa.Table:
+        a, b = ([np.frombuffer(x, "<u8") for x in entries[f].to_pylist()] for f in "ab")
+        n = np.array([len(x) for x in a])
+        count = 1 + np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=k) for t, k in zip(entries["twice"].to_pylist(), n, strict=True)]).astype(np.int64)
+        a, b = np.concatenate(a), np.concatenate(b)
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        alone = np.ones(len(a), bool)
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        mine = order[alone]
-        mine = mine[at[mine] >= 0]
-        key, at = key[mine], at[mine]
-        bucket = (mix(key.view(_U)) % _U(blocks)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        key, at, bucket = key[order], at[order], bucket[order]
-        edge = np.flatnonzero(np.diff(bucket)) + 1
-        names = bucket[np.concatenate([[0], edge]).astype(np.int64)] if len(bucket) else bucket
-        packed = [[p.tobytes() for p in np.split(x, edge)] if len(bucket) else [] for x in (key, at)]
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], ["bucket", "row_key", "at"])
-
-    def by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row a document; rows come sorted by bucket."""
-        now, held = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != now and held:
-                    yield documents(held)
-                    held = []
-                now = row["bucket"]
-                held.append((np.frombuffer(row["row_key"], "<i8"), np.frombuffer(row["at"], "<i4")))
-        if held:
-            yield documents(held)
-
-    def documents(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        key, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
-        edge = np.flatnonzero(np.diff(key)) + 1
-        parts = [p.tobytes() for p in np.split(at, edge)]
-        return pa.RecordBatch.from_arrays([pa.array(key[np.concatenate([[0], edge]).astype(np.int64)]), pa.array(parts, pa.binary())], ["row_key", "at"])
-
-    schema = "block long, " + ", ".join(f"{f} binary" for f in fields)
-    dealt = docs.select("row_key", "text").mapInArrow(local, schema)
-    return dealt.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(group, "bucket long, row_key binary, at binary").repartition(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(by_document, "row_key long, at binary")
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        which = np.empty(len(a), np.int64)
+        which[order] = np.cumsum(fresh) - 1
+        repeated = (np.bincount(which, count) > 1)[which]
+        bits = [np.packbits(repeated[e - k : e]).tobytes() for e, k in zip(np.cumsum(n), n, strict=True)]
+        return pa.table({"chunk": entries["chunk"], "kind": pa.array([1] * len(bits), pa.int32()), "block": entries["block"], "bits": pa.array(bits, pa.binary())})
+
+    sent = table.groupBy("chunk").cogroup(sketch.groupBy("chunk")).applyInArrow(send, "chunk int, block long, a binary, b binary, twice binary")
+    return sent.groupBy("block").applyInArrow(group, _BITS)
 
 
 def remove_repeats(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFrame:
@@ -238,42 +271,37 @@ def remove_repeats(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) ->
     repeat a document repeat its windows, so both lose them. Null ids come back
     as null; other columns of docs are ignored; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = text_bytes // 6 * 2 // (cfg.window - cfg.anchor + 2)
-    cells = min(max(cfg.min_cells, 1 << (8 * expected + 1).bit_length()), cfg.max_cells)
-    blocks = max(8, text_bytes // cfg.block_bytes)
-    sketch = spark.sparkContext.broadcast(_sketch(docs, cells, cfg))
-    refuted = cut(_refuted(docs, sketch, cells, blocks, cfg))
-    merged = refuted.withColumnRenamed("at", "refuted")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sketch.value, np.uint8)
-        for batch in batches:
-            for lo, hi in chunks(batch.column(1)):
-                texts = batch.column(1).slice(lo, hi - lo)
-                words = words_of(texts)
-                _, start, anchor, _ = _anchors(words, cfg)
-                ok = _passing(anchor, bits, cells, cfg.rows)
-                edge = np.zeros(len(words.start) + 1, np.int32)
-                np.add.at(edge, start[ok], 1)
-                no = batch.column(2).slice(lo, hi - lo).to_pylist()
-                gone = [np.frombuffer(part, "<i4") + words.first[i] for i, part in enumerate(no) if part]
-                if gone:
-                    np.subtract.at(edge, np.concatenate(gone), 1)
-                covered = np.cumsum(edge[:-1])
-                covered[cfg.window :] -= covered[: len(covered) - cfg.window].copy() if len(covered) > cfg.window else 0
-                keep = covered == 0
-                kept, removed = [], []
-                for i, text in enumerate(texts.to_pylist()):
-                    mine = keep[words.first[i] : words.first[i + 1]]
-                    kept.append(b" ".join(compress((text or "").encode().split(), mine)))
-                    removed.append(int(len(mine) - mine.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode() for k in kept], pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-                )
+    table, lay = _bucketed(docs.select("doc_id", F.col("text").cast("string").alias("text")), cfg)
+    sketch = cut(_sketch_bits(table, lay, cfg))
+    bits = sketch.union(_window_bits(table, sketch, lay, cfg))
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+
+    def clean(left: pa.Table, right: pa.Table) -> pa.Table:
+        text = _column(left, "text")
+        pieces = _pieces(text, cfg)
+        w = _windows(pieces, _answers(right, 0), lay, cfg)
+        repeated = _decoded(w.block, _answers(right, 1))[w.which]
+        n_words, kept, removed, done = [], [], [], 0
+        for p, ok in zip(pieces, w.ok, strict=True):
+            mine = repeated[done : done + int(ok.sum())]
+            done += len(mine)
+            edge = np.zeros(len(p.words.start) + 1, np.int32)
+            edge[p.start[ok][mine]] = 1
+            covered = np.cumsum(edge[:-1])
+            if len(covered) > cfg.window:
+                covered[cfg.window :] -= covered[: len(covered) - cfg.window].copy()
+            keep = covered == 0
+            for i, t in enumerate(text.slice(p.lo, p.hi - p.lo).to_pylist()):
+                own = keep[p.words.first[i] : p.words.first[i + 1]]
+                kept.append(b" ".join(compress((t or "").encode().split(), own)))
+                n_words.append(len(own))
+                removed.append(int(len(own) - own.sum()))
+        columns = [left["doc_id"], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() for k in kept], pa.string())]
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    def clean_or_none(left: pa.Table, right: pa.Table) -> pa.Table:
+        return clean(left, right) if left.num_rows else pa.table({n: pa.array([], t) for n, t in zip(names, (left.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.join(merged, "row_key", "left").select("doc_id", "text", "refuted").mapInArrow(clean, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    return table.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(clean_or_none, schema)

@@ -118,7 +118,7 @@ def test_components(spark):
 def test_substring_dedup(docs, none, rows, cells):
     from codaria.llm.substring_dedup import SubstringConfig, remove_repeats
 
-    cfg = SubstringConfig(min_cells=cells, max_cells=cells)
+    cfg = SubstringConfig(min_cells=cells, cells_per_anchor=0, chunk_bytes=1 << 14, bucket_bytes=1 << 15, block_bytes=1 << 14)
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(docs, cfg).collect())
     words = [(r[0], (r[1] or "").encode().split()) for r in rows]
     seen = Counter(tuple(w[i : i + 35]) for _, w in words for i in range(len(w) - 34))
