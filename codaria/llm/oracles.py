@@ -6,7 +6,7 @@ WORDS = r"'[^\x20\x09-\x0D]+'"
 
 MIXING = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS}))::BIGINT AS size,
-                  md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+                  md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS key FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * s AS c FROM t),
 l AS (SELECT *, c / w AS r, row_number() OVER (ORDER BY c / w, source NULLS LAST) AS place,
