@@ -34,17 +34,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
 """
 
 PREFERENCE = r"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS side, turn, role, text,
-                  '<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10) AS head,
-                  replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body,
-                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS pos
+WITH o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS pos
            FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT conv_id, max(pos) FILTER (role = 'assistant') AS last FROM o GROUP BY conv_id),
+a AS (SELECT conv_id, text AS reply FROM o JOIN z USING (conv_id) WHERE pos = last),
+b AS (SELECT conv_id AS pair_id, true AS side, pos, role, text FROM o JOIN z USING (conv_id) WHERE last IS NULL OR pos <= last
+      UNION ALL
+      SELECT o.conv_id, false, pos, role, CASE WHEN pos = last THEN reply ELSE text END
+      FROM o JOIN z USING (conv_id) JOIN a ON a.conv_id = o.conv_id + 1 WHERE pos <= last),
+t AS (SELECT *, '<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10) AS head,
+             replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body FROM b),
 n AS (SELECT pair_id, count(*) FILTER (side) AS nc, count(*) FILTER (NOT side) AS nr FROM t GROUP BY pair_id),
 m AS (SELECT c.pair_id, min(c.pos) AS bad FROM t c JOIN t r ON c.pair_id = r.pair_id AND c.pos = r.pos AND c.side AND NOT r.side
       WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY c.pair_id),
-l AS (SELECT n.pair_id, coalesce(m.bad - 1, least(nc, nr))::INT AS n_common FROM n LEFT JOIN m USING (pair_id)),
-x AS (SELECT t.*, n_common, length(head) || ':0,' || length(body) || CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS runs FROM t JOIN l USING (pair_id))
-SELECT pair_id, any_value(n_common) AS n_common,
+l AS (SELECT n.pair_id, nc > 0 AND nr > 0 AS paired, coalesce(m.bad - 1, least(nc, nr))::INT AS n_common FROM n LEFT JOIN m USING (pair_id)),
+x AS (SELECT t.*, paired, n_common, length(head) || ':0,' || length(body) || CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS runs FROM t JOIN l USING (pair_id))
+SELECT pair_id, any_value(paired) AS paired, any_value(n_common) AS n_common,
        coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side AND pos <= n_common), '') AS prompt,
        coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side AND pos > n_common), '') AS chosen,
        coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (NOT side AND pos > n_common), '') AS rejected,
@@ -57,11 +62,12 @@ _NORMAL = r"""list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(te
 
 DECONTAMINATION = rf"""
 WITH d AS (SELECT doc_id, {_NORMAL} AS w FROM documents WHERE doc_id IS NOT NULL),
-i AS (SELECT item_id, {_NORMAL} AS w FROM benchmark WHERE item_id IS NOT NULL),
-dp AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS pos FROM d WHERE len(w) > 0),
-ip AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS pos FROM i WHERE len(w) > 0),
-dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + 4), ' ') AS gram FROM dp),
-ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, pos, pos + 4), ' ') AS gram FROM ip),
+i AS (SELECT item_id, {_NORMAL} AS w, least(len(w), 5) AS k FROM benchmark WHERE item_id IS NOT NULL AND len(w) > 0),
+ks AS (SELECT DISTINCT k FROM i),
+dp AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM d JOIN ks ON len(w) >= k),
+ip AS (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM i),
+dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS gram FROM dp),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS gram FROM ip),
 q AS (SELECT item_id, count(*) AS n_shingles FROM ig GROUP BY item_id),
 s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (gram) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment

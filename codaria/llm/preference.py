@@ -8,7 +8,7 @@ everything else is array expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -42,7 +42,7 @@ def _mask(turns: Column) -> Column:
 
 
 def format_pairs(turns: DataFrame) -> DataFrame:
-    """pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask: one row a pair.
+    """pair_id, paired, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask: one row a pair.
 
     turns(pair_id, chosen boolean, turn, role, text): both conversations of each
     pair. Turns come by turn, then role and text, nulls last; rows that repeat are
@@ -63,6 +63,7 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     rest = {s: F.slice(s, F.col("n_common") + 1, F.size(s)) for s in ("c", "r")}
     return rows.select(
         "pair_id",
+        ((F.size("c") > 0) & (F.size("r") > 0)).alias("paired"),
         "n_common",
         _render(F.slice("c", F.lit(1), F.col("n_common"))).alias("prompt"),
         _render(rest["c"]).alias("chosen"),
@@ -72,6 +73,23 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns of pairs for format_pairs: conversation 2n is chosen and 2n + 1 rejected, in pair n."""
-    return conversations.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+def reply_pairs(conversations: DataFrame) -> DataFrame:
+    """Turns of pairs for format_pairs: a conversation up to its last assistant turn is chosen; rejected is the same with the last assistant text of the conversation whose id is one more.
+
+    pair_id is conv_id and turn a turn's place, by turn, then role and text, nulls
+    last. Turns behind the last assistant turn have no reply to judge and are left
+    out. A conversation without an assistant turn is chosen whole, and that or a
+    missing next one leaves a pair without rejected turns. Rows without conv_id take
+    no part; rows that repeat are turns of their own; other columns are ignored; an
+    empty table gives an empty one.
+    """
+    by = Window.partitionBy("conv_id")
+    order = [F.col(c).asc_nulls_last() for c in ("turn", "role", "text")]
+    rows = conversations.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text").withColumn("place", F.row_number().over(by.orderBy(*order)).cast("long"))
+    rows = rows.withColumn("last", F.max(F.when(F.col("role") == "assistant", F.col("place"))).over(by)).filter("last IS NULL OR place <= last")
+    replies = rows.filter("place = last").select((F.col("conv_id") - 1).alias("conv_id"), F.col("text").alias("reply"), F.lit(True).alias("found"))
+    both = rows.join(replies, "conv_id", "left")
+    sides = F.when(F.col("found") & F.col("last").isNotNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    both = both.select("*", F.explode(sides).alias("chosen"))
+    text = F.when(F.col("chosen") | (F.col("place") < F.col("last")), F.col("text")).otherwise(F.col("reply"))
+    return both.select(F.col("conv_id").alias("pair_id"), "chosen", F.col("place").alias("turn"), "role", text.alias("text"))

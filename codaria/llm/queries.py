@@ -48,9 +48,9 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codaria.llm.preference import format_pairs, neighbour_pairs
+    from codaria.llm.preference import format_pairs, reply_pairs
 
-    return format_pairs(neighbour_pairs(_table(spark, sf_dir, "conversations")))
+    return format_pairs(reply_pairs(_table(spark, sf_dir, "conversations")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
