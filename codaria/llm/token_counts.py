@@ -1,24 +1,30 @@
 """Token counts through a digest cache.
 
-The key of a count is the SHA-256 of the content and that of the tokenizer's
-file. Documents join the stored counts by it; only distinct misses are encoded,
-and their counts are appended to the cache, which then answers for all.
+The key of a count is the SHA-256 of the normalised content and that of the
+tokenizer's file. Normalisation maps texts together only if the tokenizer can't
+tell them apart, so it never changes a count. Documents join the stored counts by
+the key; only distinct misses are encoded, and their counts are appended to the
+cache, which then answers for all.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from codaria.llm.skew import spread_join
+from codaria.llm.storage import cut
+
 MARK = "▁"
-_CACHE = "content binary, tokenizer string, n_tokens long"
+_CACHE = "content binary, tokenizer string, n_tokens long, added_by string"
 
 
 class PieceCounter:
@@ -50,6 +56,10 @@ class PieceCounter:
         )
         self.known: dict[str, int] = {}
 
+    def normal(self, text: Column) -> Column:
+        """A space is the space mark to these models, so texts that differ in that only are one."""
+        return F.replace(text, F.lit(MARK), F.lit(" ")) if self.parts else text
+
     def _part(self, part: str) -> int:
         # the model puts a mark before what it is given, so the part comes without its first one
         n = len(self.model.encode(part)) if part else 1
@@ -84,41 +94,65 @@ class JsonCounter:
         self.model.no_truncation()
         self.model.no_padding()
 
+    def normal(self, text: Column) -> Column:
+        return text
+
     def count(self, text: str) -> int:
         return len(self.model.encode(text, add_special_tokens=False)) if text else 0
 
 
+class _Cache:
+    """The stored counts of one tokenizer file, and the texts of docs by their digests."""
+
+    def __init__(self, docs: DataFrame, tokenizer: str, path: str):
+        self.spark, self.path = docs.sparkSession, path
+        self.model = Path(tokenizer).read_bytes()
+        self.version, self.me = hashlib.sha256(self.model).hexdigest(), uuid.uuid4().hex
+        self.kind = PieceCounter if tokenizer.endswith(".model") else JsonCounter
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        self.texts = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(self.kind(self.model).normal(text), 256)).alias("content"))
+
+    def stored(self) -> DataFrame:
+        """content, n_tokens, cached: whether another call added it."""
+        try:
+            found = self.spark.read.schema(_CACHE).parquet(self.path)
+        except AnalysisException:
+            found = self.spark.createDataFrame([], _CACHE)
+        known = found.filter(F.col("tokenizer") == self.version).groupBy("content")
+        return known.agg(F.min("n_tokens").alias("n_tokens"), F.max(F.col("added_by") != self.me).alias("cached"))
+
+    def fill(self) -> None:
+        kind, model, version, me = self.kind, self.model, self.version, self.me
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counter = kind(model)
+            for batch in batches:
+                n = [counter.count(t.as_py()) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64()), pa.array([me] * len(n), pa.string())], ["content", "tokenizer", "n_tokens", "added_by"])
+
+        # copies become one row before the first exchange, so no digest is hot behind it
+        distinct = self.texts.select("content", "text").dropDuplicates(["content"])
+        misses = distinct.join(self.stored().select("content"), "content", "left_anti")
+        misses.mapInArrow(encode, _CACHE).write.mode("append").parquet(self.path)
+
+
+def fill_cache(docs: DataFrame, tokenizer: str, cache: str) -> None:
+    """Stores the counts of docs(doc_id, text) that cache lacks."""
+    _Cache(docs, tokenizer, cache).fill()
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
+    """One row for each row of docs(doc_id, text): doc_id, n_bytes, n_tokens, over_limit, cached.
 
     tokenizer: path of a .model (sentencepiece) or .json (tokenizers) file, read
     on the driver and sent with the tasks. cache: a Parquet folder, made if it
-    isn't there; entries that two writers both appended count once. A null text
-    is empty; empty texts have no tokens. Rows that repeat come back as often;
-    null ids and their counts come back too; other columns are ignored; an empty
-    table gives an empty one.
+    isn't there; entries that two writers both appended count once. cached: the
+    count was stored before this call. A null text is empty; empty texts have no
+    tokens. Rows that repeat come back as often; null ids and their counts come
+    back too; other columns are ignored; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    model = Path(tokenizer).read_bytes()
-    version = hashlib.sha256(model).hexdigest()
-    kind = PieceCounter if tokenizer.endswith(".model") else JsonCounter
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("content"))
-
-    def stored() -> DataFrame:
-        try:
-            found = spark.read.schema(_CACHE).parquet(cache)
-        except AnalysisException:
-            found = spark.createDataFrame([], _CACHE)
-        return found.filter(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = kind(model)
-        for batch in batches:
-            n = [counter.count(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
-
-    misses = texts.select("content", "text").join(stored().select("content"), "content", "left_anti").dropDuplicates(["content"])
-    misses.mapInArrow(encode, _CACHE).write.mode("append").parquet(cache)
-    rows = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return rows.join(stored(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    store = _Cache(docs, tokenizer, cache)
+    store.fill()
+    rows = cut(store.texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"))
+    found = spread_join(rows, cut(store.stored()), ["content"])
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")
