@@ -4,12 +4,18 @@
    band keys of its SuperMinHash signature (superminhash.py).
 2. Documents with equal sets collapse to the one with the smallest id.
 3. Representatives that share a band bucket get a star edge to the bucket's
-   smallest id, never all pairs. The stars' connected components are the
-   neighbourhoods: every candidate pair lies within one of them.
-4. Each neighbourhood's texts are shipped once, to a task that counts exact
-   shingle intersections through an inverted list and unites linked documents.
-   Large neighbourhoods are cut into blocks, and each pair of blocks is a task.
-5. Links join neighbourhood forests, which give the final components.
+   smallest id, its head, never all pairs. Each star is verified: its head's set is
+   compared with its members', which are cut into blocks. Links are united.
+4. A bucket whose members are then one component is done. The others are open;
+   their stars' connected components are the neighbourhoods: each candidate pair
+   whose ends are still apart lies in one. All but the largest component of a
+   neighbourhood are compared with all of it, block by block, through an inverted
+   list of exact shingle intersections. So copies of one text cost time in
+   proportion to their number, as all but few are settled by their star.
+5. All links give the final components.
+
+Keys that many rows share, sets as well as bands, are joined by broadcasting the
+few hot ones (skew.py).
 
 With 25 bands of 5 slots a pair at similarity 0.85 shares no bucket with
 probability 4e-7, at 0.8 with 5e-5.
@@ -26,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codaria.llm.components import components
+from codaria.llm.skew import hot_keys, maybe_broadcast, spread_join
 from codaria.llm.storage import cut
 from codaria.llm.superminhash import EMPTY, signatures
 from codaria.llm.textops import GOLD, chunks, mix, shingle_sets, words_of
@@ -39,14 +46,11 @@ class NearDedupConfig:
     shingle: int = 5
     bands: int = 25
     rows: int = 5
-    #: Documents and shingles that one task compares at once; larger neighbourhoods are cut into blocks.
+    #: Documents and shingles that one task compares at once; larger stars and neighbourhoods are cut into blocks.
     block_docs: int = 2048
     block_shingles: int = 2_000_000
 
 
-_SKETCH = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
-
-
 @np.errstate(over="ignore")
 def _sketch_batch(ids: pa.Array, texts: pa.Array, cfg: NearDedupConfig) -> pa.RecordBatch:
     n = len(ids)
@@ -79,7 +83,8 @@ def sketches(docs: DataFrame, cfg: NearDedupConfig = NearDedupConfig()) -> DataF
             for a, b in chunks(batch.column(1)):
                 yield _sketch_batch(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), cfg)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SKETCH)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_shingles long, key_a long, key_b long, bands array<long>")
 
 
 def unite(sets: list[np.ndarray], percent: int, split: int | None = None) -> np.ndarray:
@@ -126,28 +131,24 @@ def unite(sets: list[np.ndarray], percent: int, split: int | None = None) -> np.
 
 
 def _link_groups(percent: int, shingle: int):
-    def group_of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Rows of whole groups, in order of group; columns nb, block_a, block_b, side, doc_id, text."""
+        """Rows of whole groups, in order of group and side; columns place, side, doc_id, text."""
         sets: list[np.ndarray] = []
-        for a, b in chunks(batch.column(5)):
-            (value,), doc = shingle_sets(words_of(batch.column(5).slice(a, b - a), lower=True), shingle)
+        for a, b in chunks(batch.column(3)):
+            (value,), doc = shingle_sets(words_of(batch.column(3).slice(a, b - a), lower=True), shingle)
             first = np.searchsorted(doc, np.arange(b - a + 1))
             sets += [value[first[i] : first[i + 1]] for i in range(b - a)]
-        group, side, ids = group_of(batch), batch.column(3).to_numpy(), batch.column(4).to_numpy()
-        edges = np.append(np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1, len(ids))
+        group, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
         begin, left, right = 0, [], []
         for end in edges:
-            across = group[begin][1] != group[begin][2]
-            split = int((side[begin:end] == 0).sum()) if across else None
-            roots = unite(sets[begin:end], percent, split)
+            roots = unite(sets[begin:end], percent, int((side[begin:end] == 0).sum()))
             moved = np.flatnonzero(roots != np.arange(end - begin))
-            left.append(ids[begin:end][moved])
-            right.append(ids[begin:end][roots[moved]])
+            left.append(moved + begin)
+            right.append(roots[moved] + begin)
             begin = end
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+        ids = batch.column(2)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right)))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -158,19 +159,15 @@ def _link_groups(percent: int, shingle: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = group_of(batch)
-            last = np.flatnonzero(np.any(group != group[-1], axis=1))
+            group = batch.column(0).to_numpy()
+            last = np.flatnonzero(group != group[-1])
             cut_at = int(last[-1]) + 1 if len(last) else 0
-            if held and (cut_at or np.any(group_of(held[-1])[-1] != group[0])):
-                if cut_at and not np.any(group_of(held[-1])[-1] != group[0]):
-                    yield solve(joined([*held, batch.slice(0, cut_at)]))
-                else:
-                    yield solve(joined(held))
-                    if cut_at:
-                        yield solve(batch.slice(0, cut_at))
+            if held and held[-1].column(0)[-1].as_py() != group[0]:
+                yield solve(joined(held))
+                held = []
+            if cut_at:
+                yield solve(joined([*held, batch.slice(0, cut_at)]))
                 held = []
-            elif cut_at:
-                yield solve(batch.slice(0, cut_at))
             held.append(batch.slice(cut_at))
         if held:
             yield solve(joined(held))
@@ -178,56 +175,90 @@ def _link_groups(percent: int, shingle: int):
     return run
 
 
+def _blocks(group: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """group(hub, docs, shingles) with blocks, the number that its rows are cut into."""
+    return group.select("hub", F.greatest(F.ceil(F.col("docs") / cfg.block_docs), F.ceil(F.col("shingles") / cfg.block_shingles), F.lit(1)).cast("long").alias("blocks"))
+
+
+def _links(texts: DataFrame, dealt: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """a, b: a spanning forest of the links between the sides of each group of dealt(place, side, doc_id)."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.join(maybe_broadcast(dealt), "doc_id").select("place", "side", "doc_id", "text")
+    rows = rows.repartition("place").sortWithinPartitions("place", "side", "doc_id")
+    return rows.mapInArrow(_link_groups(cfg.percent, cfg.shingle), f"a {kind}, b {kind}").filter("a != b")
+
+
+def _star_groups(star: DataFrame, sizes: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """place, side, doc_id: the members of each star in blocks, each with the star's head; star(a, hub)."""
+    weight = star.join(sizes.withColumnRenamed("doc_id", "a"), "a").groupBy("hub").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    weight = cut(_blocks(weight, cfg))
+    blocks = spread_join(star, weight, ["hub"])
+    place = F.xxhash64("hub", "block").alias("place")
+    members = blocks.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).select(place, F.lit(0).cast("long").alias("side"), F.col("a").alias("doc_id"))
+    heads = weight.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cut(members.unionByName(heads.select(place, F.lit(1).cast("long").alias("side"), F.col("hub").alias("doc_id"))))
+
+
+def _open_groups(star: DataFrame, roots: DataFrame, sizes: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """place, side, doc_id: of each neighbourhood of star(a, hub), every block with every block of those outside its largest component."""
+    hood = components(star.select("a", F.col("hub").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("hub"))
+    rows = hood.join(sizes, "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rows = cut(rows)
+    by_root = rows.groupBy("hub", "root").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    whole = by_root.groupBy("hub").agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"), F.max(F.struct("docs", "shingles", "root")).alias("most"))
+    whole = cut(whole)
+    rest = _blocks(whole.select("hub", (F.col("docs") - F.col("most.docs")).alias("docs"), (F.col("shingles") - F.col("most.shingles")).alias("shingles")), cfg)
+    weight = cut(_blocks(whole, cfg).join(rest.withColumnRenamed("blocks", "asked"), "hub").join(whole.select("hub", F.col("most.root").alias("most")), "hub"))
+    rows = spread_join(rows, weight, ["hub"])
+    mine = F.xxhash64("doc_id")
+    place = F.xxhash64("hub", "block", "part").alias("place")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = rows.withColumn("block", F.pmod(mine, F.col("blocks"))).withColumn("part", spread("asked"))
+    asks = rows.filter("root != most").withColumn("part", F.pmod(mine, F.col("asked"))).withColumn("block", spread("blocks"))
+    side = lambda df, n: df.select(place, F.lit(n).cast("long").alias("side"), "doc_id")
+    return cut(side(every, 0).unionByName(side(asks, 1)))
+
+
 def near_duplicates(docs: DataFrame, cfg: NearDedupConfig = NearDedupConfig()) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Words are runs other than ASCII white space, A-Z lower-cased; a document's
-    set is its distinct 5-word shingles, or its whole sequence if it is shorter.
-    Null, empty and blank texts have the empty set and link with nothing. Rows
-    that repeat a doc_id are one node, linked by any of their texts, and each
-    comes back. A row with a null doc_id takes no part: its component_id is
-    null and it is kept. Other columns of docs are ignored; an empty table gives
-    an empty one. Reruns agree.
+    doc_id may be of any type that orders; component_id is of the same. Words are
+    runs other than ASCII white space, A-Z lower-cased; a document's set is its
+    distinct 5-word shingles, or its whole sequence if it is shorter. Null, empty
+    and blank texts have the empty set and link with nothing. Rows that repeat a
+    doc_id are one node, linked by any of their texts, and each comes back. A row
+    with a null doc_id takes no part: its component_id is null and it is kept.
+    Other columns of docs are ignored; an empty table gives an empty one. Reruns
+    agree.
     """
     sk = cut(sketches(docs, cfg))
     full = sk.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    rep = full.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    equal = (
-        full.join(rep.filter("copies > 1"), ["key_a", "key_b"])
-        .filter("doc_id != rep")
-        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    )
-    heads = cut(
-        full.join(rep.select("key_a", "key_b", F.col("rep").alias("doc_id")), ["key_a", "key_b", "doc_id"], "left_semi")
-        .dropDuplicates(["key_a", "key_b"])
-        .select("doc_id", "n_shingles", "bands")
-    )
-    bucket = heads.select("doc_id", F.explode("bands").alias("band"))
-    head = bucket.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    star = bucket.join(head.select("band", "head"), "band").filter("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    hood = components(star)
-    member = hood.join(heads.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n")), "node")
-    weight = member.groupBy("component").agg(
-        F.greatest(F.ceil(F.count("*") / cfg.block_docs), F.ceil(F.sum("n") / cfg.block_shingles), F.lit(1)).alias("blocks")
-    )
-    placed = cut(member.join(weight, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("nb"), "blocks"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(placed, "doc_id")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = texts.select("nb", mine.alias("mine"), other, "doc_id", "text").select(
-        "nb",
-        F.least("mine", "other").alias("block_a"),
-        F.greatest("mine", "other").alias("block_b"),
-        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).cast("long").alias("side"),
-        "doc_id",
-        "text",
-    )
-    group = ["nb", "block_a", "block_b"]
-    links = dealt.repartition(*group).sortWithinPartitions(*group, "side", "doc_id").mapInArrow(_link_groups(cfg.percent, cfg.shingle), "a long, b long")
-    roots = components(links.union(equal)).withColumnRenamed("node", "doc_id")
-    return sk.join(roots, "doc_id", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"),
-    )
+    heads = full.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"), F.count("*").alias("copies"))
+    heads = cut(heads.select("key_a", "key_b", "first.*", "copies"))
+    many = heads.filter("copies > 1").select("key_a", "key_b", F.col("doc_id").alias("b"), "copies")
+    equal = spread_join(full.select(F.col("doc_id").alias("a"), "key_a", "key_b"), many.drop("copies"), ["key_a", "key_b"], hot_keys(many, sk.count(), "copies")).select("a", "b")
+    equal = cut(equal.filter("a != b"))
+    sizes = heads.groupBy("doc_id").agg(F.sum("n_shingles").alias("n_shingles"))
+    bucket = heads.select(F.col("doc_id").alias("a"), F.explode("bands").alias("band"))
+    found = cut(bucket.groupBy("band").agg(F.min("a").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    hot = hot_keys(found, heads.count())
+    star = cut(spread_join(bucket, found.drop("n"), ["band"], hot).filter("a != hub"))
+    texts = docs.select("doc_id", F.col("text").cast("string"))
+    links = cut(_links(texts, _star_groups(star.select("a", "hub").distinct(), sizes, cfg), cfg).union(equal))
+    roots = cut(components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("root")))
+    # a bucket is its star's members and its head
+    root = F.coalesce("root", "a")
+    ends = star.select("a", "hub", "band").unionByName(found.select(F.col("hub").alias("a"), "hub", "band"))
+    ends = ends.join(roots.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("root", root)
+    apart = ends.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
+    apart = cut(apart.select("band"))
+    if not apart.isEmpty():
+        rest = cut(spread_join(star, apart, ["band"], hot).select("a", "hub").distinct())
+        more = _links(texts, _open_groups(rest, roots, sizes, cfg), cfg)
+        roots = components(more.union(roots.select("doc_id", "root")))
+        roots = roots.select(F.col("node").alias("doc_id"), F.col("component").alias("root"))
+    named = sk.select("doc_id", "n_shingles")
+    out = named.filter("doc_id IS NOT NULL").join(roots, "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    nowhere = named.filter("doc_id IS NULL")
+    return out.unionByName(nowhere.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))

@@ -73,3 +73,15 @@ s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (gram)
 SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
 FROM s JOIN q USING (item_id) WHERE n_shared >= 0.8 * n_shingles - 1e-9
 """
+
+NEAR = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS pos FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + 4), ' ') AS gram FROM x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT i, j FROM p JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS i, doc_id AS j FROM d UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+m AS (SELECT i AS doc_id, min(j) AS component_id FROM r GROUP BY i)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
