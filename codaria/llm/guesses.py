@@ -5,12 +5,20 @@ ends a segment at i: one brute-force character, a word, a date, a keyboard or
 alphabet walk, or a repetition of what precedes it. Segments but the
 brute-force ones are of bounded length, so the cost is linear in the value's
 length, and a long walk or repetition costs as the pieces it is cut into.
+
+Words come with ranks, from which a word's guesses follow. Common passwords come
+first; a public tokenizer's vocabulary, whose entries are in order of frequency,
+adds thousands of words (word_ranks).
 """
 
 from __future__ import annotations
 
+import base64
 import math
 import re
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
+from pathlib import Path
 
 # Common password words, most common first.
 WORDS = (
@@ -28,12 +36,25 @@ WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqr
 LEET = str.maketrans("4@83016!57$", "aabeoigists")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
 STEPS = {a + b for w in WALKS for row in (w, w[::-1]) for a, b in zip(row, row[1:], strict=False)}
 BLOCK = 64
 #: Bits that choosing one more segment adds.
 CHOICE = 1.5
+#: Bits of one sign between words, such as a space or a hyphen.
+JOINT = 2.5
+JOINTS = " -_."
+
+
+@lru_cache(maxsize=4)
+def word_ranks(vocabulary: str | None = None) -> dict[str, int]:
+    """Words and their ranks from 1: the common ones, then those of a .tiktoken file that begin a word and have three letters or more, in its order."""
+    words = list(WORDS)
+    if vocabulary:
+        for line in Path(vocabulary).read_bytes().splitlines():
+            token = base64.b64decode(line.split()[0])
+            if token[:1] == b" " and len(token) > 3 and token[1:].isalpha():
+                words.append(token[1:].decode("ascii", "ignore").lower())
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys(w for w in words if w))}
 
 
 def _alphabet(value: str) -> float:
@@ -48,43 +69,44 @@ def _alphabet(value: str) -> float:
     return math.log2(max(size, 2))
 
 
-def guess_bits(value: str) -> float:
-    """Base-two logarithm of the guesses that the cheapest segmentation needs; 0 for the empty string."""
+def segments(value: str, ranks: Mapping[str, int]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, bits) of each segment that a guesser may take, by start."""
     n = len(value)
-    best = [0.0] + [math.inf] * n
     char = _alphabet(value)
     low = value.lower()
     if len(low) != n:  # a letter whose lower case is longer
         low = value
     plain = low.translate(LEET)
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(i, []).append(m.end())
-    walk = 1
+    longest = max(map(len, ranks), default=0)
     for i in range(n):
-        base = best[i]
-        best[i + 1] = min(best[i + 1], base + char)
-        for size in range(3, min(LONGEST, n - i) + 1):
+        yield i, i + 1, char
+        if i and value[i] in JOINTS:
+            yield i, i + 1, JOINT
+        for size in range(3, min(longest, n - i) + 1):
             word = plain[i : i + size]
-            rank = RANK.get(word) or RANK.get(low[i : i + size])
+            rank = ranks.get(word) or ranks.get(low[i : i + size])
             if rank:
                 own = value[i : i + size]
-                cost = math.log2(rank + 1) + CHOICE + (own.lower() != own) * 1.5 + (low[i : i + size] != word) * 1.5
-                best[i + size] = min(best[i + size], base + cost)
-        for end in dates.get(i, ()):
-            best[end] = min(best[end], base + math.log2(365 * 120 if end - i > 4 else 120) + CHOICE)
+                yield i, i + size, math.log2(rank + 1) + CHOICE + (own.lower() != own) * 1.5 + (low[i : i + size] != word) * 1.5
+        if value[i].isdigit() and (m := DATE.match(value, i)):
+            yield i, m.end(), math.log2(365 * 120 if m.end() - i > 4 else 120) + CHOICE
         walk = i
         while walk + 1 < n and walk - i < BLOCK and low[walk] + low[walk + 1] in STEPS:
             walk += 1
             if walk - i >= 2:
-                best[walk + 1] = min(best[walk + 1], base + math.log2(len(STEPS) * (walk - i + 1)) + CHOICE)
-        if i:
-            for size in (1, 2, 3, 4, 6, 8):
-                if size > i:
-                    break
-                unit, end = value[i - size : i], i
-                while end + size <= n and end - i < BLOCK and value[end : end + size] == unit:
-                    end += size
-                    best[end] = min(best[end], base + math.log2((end - i) // size + 1) + CHOICE)
-    return best[n]
+                yield i, walk + 1, math.log2(len(STEPS) * (walk - i + 1)) + CHOICE
+        for size in (1, 2, 3, 4, 6, 8):
+            if size > i:
+                break
+            unit, end = value[i - size : i], i
+            while end + size <= n and end - i < BLOCK and value[end : end + size] == unit:
+                end += size
+                yield i, end, math.log2((end - i) // size + 1) + CHOICE
+
+
+def guess_bits(value: str, ranks: Mapping[str, int] | None = None) -> float:
+    """Base-two logarithm of the guesses that the cheapest segmentation needs; 0 for the empty string."""
+    best = [0.0] + [math.inf] * len(value)
+    for start, end, bits in segments(value, word_ranks() if ranks is None else ranks):
+        best[end] = min(best[end], best[start] + bits)
+    return best[-1]

@@ -164,27 +164,32 @@ def trained(cfg: PiiConfig = PiiConfig()) -> BoostedTrees:
 
 
 def pii_spans(text: str, model: BoostedTrees, cfg: PiiConfig = PiiConfig()) -> list[Span]:
-    """Base spans, and the model's spans that overlap none of them."""
-    found = base_spans(text)
+    """Base spans, and the model's spans that overlap none of them or hold those that they overlap whole; all with the model's probability."""
+    base = base_spans(text)
     proposed = list(dict.fromkeys(candidates(text)))
-    if not proposed:
-        return found
+    own = [(s.start, s.end, s.kind) for s in base]
+    if not own and not proposed:
+        return []
+    p = model.probability(np.array([features(text, *c) for c in own + proposed]))
+    found = [Span(*c, False, float(q)) for c, q in zip(own, p, strict=False)]
     least = dict(cfg.thresholds)
-    p = model.probability(np.array([features(text, *c) for c in proposed]))
-    chosen: list[Span] = []
-    taken = Taken((s.start, s.end) for s in found)
-    for (start, end, kind), score in sorted(zip(proposed, p, strict=True), key=lambda x: (-x[1], x[0])):
-        if score >= least[kind] and not taken.overlaps(start, end):
-            chosen.append(Span(start, end, kind, True, float(score)))
-            taken.add(start, end)
-    return found + chosen
+    taken, chosen = Taken(), Taken((s.start, s.end) for s in base)
+    edges = [x for s in base for x in (s.start, s.end)]
+    for (start, end, kind), score in sorted(zip(proposed, p[len(own) :], strict=True), key=lambda x: (-x[1], x[0])):
+        if score < least[kind] or taken.overlaps(start, end) or chosen.covers(start, end):
+            continue
+        if chosen.overlaps(start, end) and any(a < e < b for e in (start, end) for a, b in zip(edges[::2], edges[1::2], strict=True)):
+            continue
+        found.append(Span(start, end, kind, True, float(score)))
+        taken.add(start, end)
+    return found
 
 
 def find_pii(docs: DataFrame, cfg: PiiConfig = PiiConfig()) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found.
 
     Counts and base_sha256 are of base spans; spans and found have the added ones
-    too. Offsets are code points, ends exclusive. Null and empty texts have no
+    too, found with the calibrated probability of each. Offsets are code points, ends exclusive. Null and empty texts have no
     spans. Repeated rows come back as often, null ids as null; other columns are
     ignored, and an empty table gives an empty one.
     """

@@ -30,9 +30,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codaria.llm.secret_scan import scan_secrets
+    import public_tokenizers
+
+    from codaria.llm.secret_scan import SecretConfig, scan_secrets
 
-    return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+    return scan_secrets(_table(spark, sf_dir, "documents"), SecretConfig(vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))).drop("found")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codaria.llm.guesses import guess_bits
+from codaria.llm.guesses import guess_bits, word_ranks
 from codaria.llm.spans import SPAN_SQL, Span, Taken, digests
 from codaria.llm.textops import chunks
 
@@ -30,29 +30,32 @@ CONTEXT = re.compile(
 class SecretConfig:
     #: A value in a credential context is a secret from this many bits of guesses on (about 10^11).
     bits: float = 36.0
-    least_chars: int = 6
+    #: Path of a .tiktoken vocabulary whose words guessers know besides the common ones; read on the driver.
+    vocabulary: str | None = None
 
 
-def base_spans(text: str) -> list[Span]:
+def base_matches(text: str) -> list[tuple[Span, str]]:
+    """Base spans and the value that each one gives away."""
     found = []
     if ":" in text or "=" in text:
-        found += [Span(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
+        found += [(Span(m.start(), m.end(), "assign"), m.group(1)) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 8]
     if "AKIA" in text:
-        found += [Span(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    found += [Span(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    return found
+        found += [(Span(m.start(), m.end(), "access"), m.group()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    return found + [(Span(m.start(), m.end(), "hex"), m.group()) for m in HEX.finditer(text)]
 
 
-def secret_spans(text: str, cfg: SecretConfig = SecretConfig()) -> list[Span]:
-    """Base spans, and spans of kind guess: values whose guess cost is high and that no base span holds whole."""
-    found = base_spans(text)
+def secret_spans(text: str, cfg: SecretConfig = SecretConfig(), ranks: Mapping[str, int] | None = None) -> list[Span]:
+    """Base spans with the bits of their values, and spans of kind guess: values in a credential context, phrases in quotes too, whose guess cost is high and that no base span holds whole."""
+    if ranks is None:
+        ranks = word_ranks(cfg.vocabulary)
+    found = [Span(s.start, s.end, s.kind, False, guess_bits(value, ranks)) for s, value in base_matches(text)]
     if ":" in text or "=" in text:
         taken = Taken((s.start, s.end) for s in found)
         for m in CONTEXT.finditer(text):
             begin, end = m.span(m.lastindex)
-            if end - begin < cfg.least_chars or taken.covers(begin, end):
+            if taken.covers(begin, end):
                 continue
-            bits = guess_bits(text[begin:end])
+            bits = guess_bits(text[begin:end], ranks)
             if bits >= cfg.bits:
                 found.append(Span(begin, end, "guess", True, bits))
     return found
@@ -62,18 +65,18 @@ def scan_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig()) -> DataFra
     """One row for each row of docs(doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, found.
 
     Offsets are code points, ends exclusive. found lists all spans with kind,
-    start, end, added and score (bits of guesses for added ones). Null and empty
+    start, end, added and score, the bits of guesses of the value. Null and empty
     texts have no spans. Repeated rows come back as often, null ids as null;
     other columns are ignored, and an empty table gives an empty one.
     """
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "found"]
-    docs = docs.select("doc_id", F.col("text").cast("string"))
+    docs, ranks = docs.select("doc_id", F.col("text").cast("string")), word_ranks(cfg.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 texts = batch.column(1).slice(a, b - a).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *digests(texts, lambda t: secret_spans(t, cfg), KINDS, BASE)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *digests(texts, lambda t: secret_spans(t, cfg, ranks), KINDS, BASE)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in BASE) + f", base_sha256 string, spans string, found {SPAN_SQL}")
@@ -84,10 +87,10 @@ def redact_secrets(docs: DataFrame, cfg: SecretConfig = SecretConfig(), mark: st
 
     All rows and columns stay; a column n_chars follows the text's new length.
     """
-    at = docs.columns.index("text")
+    at, ranks = docs.columns.index("text"), word_ranks(cfg.vocabulary)
 
     def clean(text: str | None) -> str | None:
-        spans = sorted((s.start, s.end) for s in secret_spans(text, cfg)) if text else []
+        spans = sorted((s.start, s.end) for s in secret_spans(text, cfg, ranks)) if text else []
         if not spans:
             return text
         out, last, open_end = [], 0, -1

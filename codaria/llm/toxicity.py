@@ -5,8 +5,8 @@ document is toxic if documents that hold it are toxic far more often than
 others (log-odds and likelihood ratio over groups of similar texts, so that
 copies count once). The CRF learns those labels from form and neighbours. A
 logistic model of the marginals' sum, largest value and share of the words gives a document's score.
-The fit uses at most train_toxic + train_clean documents, by order of the MD5 of
-their id; its classes are weighed back to their shares of all labels.
+The fit uses at most train_toxic + train_clean documents and train_bytes of text of
+either, by order of the MD5 of their id; its classes are weighed back to their shares of all labels.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codaria.llm.crf import OUTER, Chain, fit_chain
@@ -29,6 +29,8 @@ from codaria.llm.textops import Words, chunks, shingle_sets, words_of
 class ToxicityConfig:
     train_toxic: int = 800
     train_clean: int = 1600
+    #: Bytes of text, of either class, that the fit reads at most; it takes whole texts until the next would exceed them.
+    train_bytes: int = 16 << 20
     threshold: float = 0.3
     #: A word is labelled toxic from this log-odds on, if its likelihood ratio exceeds twice the logarithm of the number of words tried.
     odds: float = 3.0
@@ -143,7 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConf
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sample = known.filter("toxic").orderBy("place").limit(cfg.train_toxic).union(known.filter("NOT toxic").orderBy("place").limit(cfg.train_clean))
     texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = sorted(texts.groupBy("place", "toxic").agg(F.min("text").alias("text")).collect())
+    texts = texts.groupBy("place", "toxic").agg(F.min("text").alias("text"))
+    # of train_toxic + train_clean rows at most
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("place"))
+    rows = sorted(texts.withColumn("so_far", so_far).filter(F.col("so_far") <= cfg.train_bytes).drop("so_far").collect())
     n = max(1, sum(count.values()))
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], bool), (count.get(False, 0) / n, count.get(True, 0) / n), cfg)
 
