@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codaria.llm.decontaminate import contaminated
 from codaria.llm.mixing import mixed_documents
 from codaria.llm.near_dedup import near_duplicates
-from codaria.llm.secret_scan import redact_secrets
+from codaria.llm.secret_scan import SecretConfig, redact_secrets
 from codaria.llm.skew import maybe_broadcast
 from codaria.llm.storage import cut, new_path, remove
 from codaria.llm.textops import WORD_PATTERN
@@ -72,7 +72,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; all rows and columns stay, null texts as null, equal texts alike."""
-    return redact_secrets(docs)
+    import public_tokenizers
+
+    return redact_secrets(docs, SecretConfig(vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
