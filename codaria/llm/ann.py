@@ -9,7 +9,8 @@ entries as were found to be needed. Counts below a prefix only grow on the way
 up, so the level is found by bisection.
 
 How many entries are needed is measured in each shard: probe rows are searched
-exhaustively, and the least number that finds `aim` of their neighbours is used.
+exhaustively, and the least number that finds `aim` of their neighbours is used,
+in steps of a quarter.
 Every row is indexed in every tree; no bucket or candidate list is capped.
 """
 
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codaria.llm.storage import cut
@@ -93,7 +94,7 @@ class Forest:
                 found, total = found + int(mask[w].sum()), total + len(w)
             if found >= cfg.aim * total:
                 return need
-            need *= 2
+            need += -(-need // 4)
         return n * cfg.trees
 
     def mask(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -134,7 +135,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, cfg: ForestConfig = ForestCo
     smaller vec_id. A query's own id is no candidate. Rows whose id is null, or
     whose vector is null, empty, zero or holds null or non-finite components,
     take no part; vectors of another length are not compared. Rows that repeat a
-    vec_id and vector count once. Fewer candidates than k are all returned; other
+    vec_id and vector count once; an id with different vectors is a candidate by
+    each, and a query by each. Fewer candidates than k are all returned; other
     columns are ignored, and empty tables give an empty result. Reruns agree.
     """
 
@@ -168,7 +170,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, cfg: ForestConfig = ForestCo
 
     key = ["dim", "shard", "block"]
     found = dealt.groupBy(*key).cogroup(asks.groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
-    best = F.array_sort(F.array_distinct(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))))
-    return found.groupBy("query_id").agg(F.slice(best, 1, cfg.k).alias("best")).select(
-        "query_id", F.posexplode("best").alias("pos", "b")
-    ).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.less")).alias("score"))
+    # each task keeps its k best of a query before they are dealt, whatever the number of shards
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")

@@ -315,6 +315,9 @@ def test_nearest(spark):
     assert hit / (75 * 20) >= 0.9 and 2000 not in got
     assert nearest(df.filter("vec_id < 5"), df.filter("vec_id = 0")).count() == 4
     assert nearest(df.filter("vec_id = 9999"), asked).count() == 0
+    ties = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(60)] + [(7, [1.0, 0.5]), (3, [2.0, 0.0]), (99, [0.1, 0.1])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in nearest(ties, ties.filter("vec_id = 20"), ForestConfig(shard_rows=9)).orderBy("rank").collect()]
+    assert got == [(3, 2.0)] + [(i, 1.25) for i in range(19)]
 
 
 def test_chain_marginals_match_enumeration():
