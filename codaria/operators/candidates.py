@@ -20,8 +20,8 @@ def merge(mention_links: DataFrame, doc_links: DataFrame) -> DataFrame:
 
 
 def rank_and_cut(links: DataFrame, k: int = 50) -> DataFrame:
-    """One link for each document and code, the best by (score desc, method, mention), then the k best codes by (score desc, code)."""
-    one = Window.partitionBy("doc_id", "code_3char").orderBy(F.desc("score"), "method", F.asc_nulls_first("mention_id"))
+    """One link for each document and code, the best by (score desc, method, start of the mention, its id), those without a mention last, then the k best codes by (score desc, code)."""
+    one = Window.partitionBy("doc_id", "code_3char").orderBy(F.desc("score"), "method", F.asc_nulls_last("char_start"), F.asc_nulls_last("mention_id"))
     best = links.withColumn("rn", F.row_number().over(one)).filter("rn = 1").drop("rn")
     ranked = Window.partitionBy("doc_id").orderBy(F.desc("score"), "code_3char")
     return best.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codaria.functions.text import fold_key
+from codaria.functions.text import SPACE, fold_key
 
 #: Keys, and characters of keys, that one automaton may hold.
 KEY_ROWS, KEY_CHARS = 200_000, 4_000_000
@@ -32,7 +32,7 @@ def title_index(codes: DataFrame) -> DataFrame:
 
 
 def alias_index(aliases: DataFrame) -> DataFrame:
-    """aliases(code_3char, alias_norm, ordinal)."""
+    """aliases(code_3char, alias_norm, ordinal); ordinal is of any type that orders."""
     entries = aliases.select(fold_key(F.col("alias_norm")).alias("key"), F.col("code_3char").alias("code"), F.col("ordinal").alias("place"))
     return last_wins(entries.filter("key != ''"))
 
@@ -41,7 +41,7 @@ def fuzzy_index(codes: DataFrame) -> DataFrame:
     """code, choice, place: titles and aliases in order; empty ones go."""
     items = F.concat(F.array("title_vi", "title_en"), F.coalesce("aliases", F.array().cast("array<string>")))
     rows = codes.select(F.col("code_3char").alias("code"), "ordinal", F.posexplode(items).alias("pos", "choice"))
-    return rows.filter("choice != ''").select("code", "choice", (F.col("ordinal") * 100_000 + F.col("pos")).alias("place"))
+    return rows.filter("choice != ''").select("code", "choice", F.struct("ordinal", "pos").alias("place"))
 
 
 def _link(mentions: DataFrame, index: DataFrame, key, method: str, score: float) -> DataFrame:
@@ -92,20 +92,17 @@ def fuzzy_links(mentions: DataFrame, index: DataFrame, cutoff: float = 75.0, k:
     choices = index.withColumn("sorted_c", _sorted("choice")).withColumn("m", F.length("sorted_c"))
     pairs = texts.withColumn("m", F.explode(lengths)).join(choices, "m").select("query", "sorted_q", "code", "sorted_c", "place")
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ratio = [200.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0 for a, b in zip(f["sorted_q"], f["sorted_c"], strict=True)]
-            out = f[["query", "code", "place"]].assign(ratio=ratio)
-            yield out[out["ratio"] >= cutoff]
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([200.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0 for a, b in zip(left, right, strict=True)], dtype="float64")
 
-    scored = pairs.mapInPandas(score, "query string, code string, place long, ratio double")
+    scored = pairs.withColumn("ratio", F.pandas_udf(ratio, "double")("sorted_q", "sorted_c")).filter(F.col("ratio") >= cutoff)
     best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("ratio"), "place"))).filter(F.col("rn") <= k)
     best = best.groupBy("query", "code").agg(F.max("ratio").alias("ratio"))
     return mentions.join(best, mentions["text"] == best["query"]).select("doc_id", "mention_id", F.col("code").alias("code_3char"), F.lit("fuzzy").alias("method"), (F.col("ratio") / 100).alias("score"), "char_start", "char_end")
 
 
 def _sorted(column: str):
-    return F.array_join(F.array_sort(F.array_remove(F.split(F.trim(column), r"\s+"), "")), " ")
+    return F.array_join(F.array_sort(F.array_remove(F.split(column, f"[{SPACE}]+"), "")), " ")
 
 
 class Needles:
@@ -177,8 +174,12 @@ def title_containment(docs: DataFrame, titles: DataFrame) -> DataFrame:
     Of a code's titles the first in dictionary order counts. Score: ten times the
     share of the text that the title is, from 0.3 to 1.
     """
-    found = contained_keys(docs.select("doc_id", F.lower("text").alias("text")), titles).join(titles, "key")
-    found = found.select("doc_id", "code", "first_place", F.length("key").alias("len"), "total")
+    return score_titles(contained_keys(docs.select("doc_id", F.lower("text").alias("text")), titles), titles)
+
+
+def score_titles(found: DataFrame, titles: DataFrame) -> DataFrame:
+    """title_containment of found(doc_id, key, total)."""
+    found = found.join(titles, "key").select("doc_id", "code", "first_place", F.length("key").alias("len"), "total")
     first = found.groupBy("doc_id", "code").agg(F.min(F.struct("first_place", "len", "total")).alias("f"))
     raw = F.least(F.col("f.len") / F.greatest(F.col("f.total"), F.lit(1)) * 10, F.lit(1.0))
     return first.select("doc_id", "code", F.greatest(raw, F.lit(0.3)).alias("score"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codaria.functions import text as T
 from codaria.operators.spans import parentheticals, split_all_lines
+from codaria.operators.weak_labels import missing_topics
 
 FIRST_CODE_PAGE = 20
 # Topics of the introduction with keywords and half-open page ranges.
@@ -89,13 +90,18 @@ def chapters(lines: DataFrame) -> DataFrame:
     return last.select("page_no", carried.alias("chapter_id"))
 
 
+def both_titles(vi: DataFrame, en: DataFrame) -> DataFrame:
+    """code, vi, title_en, title_vi of vi(code, vi) and en(code, title_en): codes of either; an English title stands for a missing or empty Vietnamese one."""
+    return vi.join(en, "code", "full").withColumn("title_vi", F.coalesce(F.nullif("vi", F.lit("")), "title_en"))
+
+
 def ontology(pages: DataFrame, first_page: int = FIRST_CODE_PAGE) -> DataFrame:
     """code_3char, chapter_id, title_vi, title_en, aliases, search_text."""
     lines = page_lines(pages, first_page)
     titles, subs = titles_and_subtitles(sections(lines))
     en = titles.filter("section = 'en'").select("code", F.col("title").alias("title_en"))
     vi = titles.filter("section = 'vi'").select("code", F.col("title").alias("vi"))
-    both = vi.join(en, "code", "full").withColumn("title_vi", F.coalesce("vi", "title_en"))
+    both = both_titles(vi, en)
     place = titles.groupBy("code").agg(F.min("page_no").alias("page_no")).join(chapters(lines), "page_no", "left")
     keyed = subs.join(both, "code").withColumn("norm", T.ontology_alias_key(F.col("title")))
     own = T.ontology_alias_key(F.when(F.col("section") == "en", F.coalesce("title_en", F.lit(""))).otherwise(F.col("title_vi")))
@@ -128,6 +134,18 @@ def check_pages(pages: DataFrame) -> None:
         raise ValueError("pages are not contiguous from 1")
 
 
+def check_guidance(rows: DataFrame, source: str = "icd10_official_pdf", topics=TOPICS) -> None:
+    """Raises ValueError unless each topic has one record, with texts, its own id and pages in order."""
+    known = [t for t, *_ in topics]
+    bad = (F.coalesce(F.trim("raw_text"), F.lit("")) == "") | (F.coalesce(F.trim("normalized_text"), F.lit("")) == "") | (F.size("sentences") < 1)
+    bad = bad | (F.col("doc_id") != F.concat(F.lit(f"{source}:intro_guidance:"), "topic")) | ~F.col("topic").isin(known) | (F.col("page_start") > F.col("page_end"))
+    if not rows.filter(F.coalesce(bad, F.lit(True))).isEmpty():
+        raise ValueError("invalid guidance record")
+    have = [r[0] for r in rows.select("topic").collect()]  # a row a topic
+    if sorted(have) != sorted(known):
+        raise ValueError(f"guidance topics are {sorted(have)}")
+
+
 def coded_lines(pages: DataFrame, codes: DataFrame) -> DataFrame:
     """page_no, line_no, line, code (the last known one at or before it on its page), next (up to three trimmed lines behind)."""
     rows = pages.select("page_no", F.posexplode(split_all_lines(F.col("raw_text"))).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
@@ -156,11 +174,11 @@ def alias_rows(codes: DataFrame, pages: DataFrame) -> DataFrame:
     place = F.col("ordinal").cast("int")
     out = []
     for i, (title, lang) in enumerate((("title_vi", "vi"), ("title_en", "en"))):
-        out.append(codes.select(code, F.col(title).alias("alias"), F.lit(title).alias("alias_type"), F.lit(lang).alias("language"), *none, F.array(F.lit(0), place, F.lit(i), F.lit(0)).alias("seq")))
+        out.append(codes.select(code, F.col(title).alias("alias"), F.lit(title).alias("alias_type"), F.lit(lang).alias("language"), *none, F.array(F.lit(0), place, F.lit(i), F.lit(0), F.lit(0)).alias("seq")))
         inner = codes.select(code, "ordinal", F.posexplode(parentheticals(F.coalesce(F.col(title), F.lit("")))).alias("p", "alias"))
-        out.append(inner.select("code", "alias", F.lit("parenthetical").alias("alias_type"), F.lit(lang).alias("language"), *none, F.array(F.lit(0), place, F.lit(2 + i), F.col("p")).alias("seq")))
+        out.append(inner.select("code", "alias", F.lit("parenthetical").alias("alias_type"), F.lit(lang).alias("language"), *none, F.array(F.lit(0), place, F.lit(2 + i), F.col("p"), F.lit(0)).alias("seq")))
     lines = coded_lines(pages, codes)
-    seq = lambda step, pos: F.array(F.lit(1), F.col("page_no").cast("int"), F.col("line_no"), step * 1000 + pos).alias("seq")
+    seq = lambda step, pos: F.array(F.lit(1), F.col("page_no").cast("int"), F.col("line_no"), F.lit(step), pos).alias("seq")
     prefix = rf"^(?iu:bao gồm|includes):?[{T.SPACE}]*"
     mixed = F.lit("mixed").alias("language")
     started = lines.filter(F.col("line").rlike("^(?iu:bao gồm|includes)"))
@@ -178,11 +196,16 @@ def alias_rows(codes: DataFrame, pages: DataFrame) -> DataFrame:
     return rows
 
 
+def first_aliases(rows: DataFrame) -> DataFrame:
+    """rows(code, alias, seq, ...) with norm: the first by seq of each code and norm; empty ones and those that are the code go."""
+    rows = rows.withColumn("norm", T.alias_key(F.col("alias"))).filter("norm != '' AND norm != lower(code)")
+    first = F.row_number().over(Window.partitionBy("code", "norm").orderBy("seq"))
+    return rows.withColumn("rn", first).filter("rn = 1").drop("rn")
+
+
 def alias_dictionary(codes: DataFrame, pages: DataFrame) -> DataFrame:
     """alias_id, code_3char, alias, alias_norm, alias_type, language, match_level, source_page, source_line: first seen wins."""
-    rows = alias_rows(codes, pages).withColumn("norm", T.alias_key(F.col("alias"))).filter("norm != '' AND norm != lower(code)")
-    first = F.row_number().over(Window.partitionBy("code", "norm").orderBy("seq"))
-    once = rows.withColumn("rn", first).filter("rn = 1")
+    once = first_aliases(alias_rows(codes, pages))
     return once.select(F.concat_ws(":", "code", "norm").alias("alias_id"), F.col("code").alias("code_3char"), "alias", F.col("norm").alias("alias_norm"), "alias_type", "language", F.lit("exact").alias("match_level"), F.col("page_no").alias("source_page"), F.col("line").alias("source_line"))
 
 
@@ -217,8 +240,9 @@ def global_rules(intro: DataFrame) -> DataFrame:
 def coding_rules(intro: DataFrame, pages: DataFrame, codes: DataFrame) -> DataFrame:
     """Global and code rules, each id once, the first by page and line; raises unless all global topics are there."""
     whole = global_rules(intro)
-    if whole.select("topic").distinct().count() < len(GLOBAL_RULES):
-        raise ValueError("a global topic has no rule")
+    missing = missing_topics(whole, tuple(topic for topic, *_ in GLOBAL_RULES))
+    if missing:
+        raise ValueError(f"global topics without a rule: {missing}")
     rows = whole.unionByName(code_rules(pages, codes))
     first = F.row_number().over(Window.partitionBy("rule_id").orderBy(F.asc_nulls_first("source_page_start"), "line_no"))
     return rows.withColumn("rn", first).filter("rn = 1").drop("rn", "line_no")
@@ -236,8 +260,9 @@ def guidance(pages: DataFrame, source: str = "icd10_official_pdf", topics=TOPICS
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "raw_text"))), lambda p: p["raw_text"]), "\n\n").alias("raw_text"),
         F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"),
     )
-    if rows.count() < len(topics):
-        raise ValueError("a guidance topic was not found")
+    missing = sorted({t for t, *_ in topics} - {r[0] for r in rows.select("topic").collect()})  # a row a topic
+    if missing:
+        raise ValueError(f"no guidance for {missing}")
     span = F.when(F.col("page_start") == F.col("page_end"), F.col("page_start").cast("string")).otherwise(F.concat_ws("-", "page_start", "page_end"))
     rows = rows.withColumn("normalized_text", T.page_text(F.col("raw_text"), True))
     return rows.select(F.concat(F.lit(f"{source}:intro_guidance:"), "topic").alias("doc_id"), "topic", "raw_text", "normalized_text", T.sentences(F.col("normalized_text")).alias("sentences"), "page_start", "page_end", span.alias("page_span"))

@@ -4,7 +4,7 @@ Terms of queries and corpus meet in one equi-join on the term; what is grouped
 are pairs that share a term. Scores are rounded before ranking, so the order of
 summation can't change ranks. Both give score / best score of the query.
 
-`search` ranks a whole corpus for each query. A corpus of at most POSTINGS
+`search` ranks a whole corpus for each row. A corpus of at most POSTINGS
 postings, counted first, goes to the executors as one inverted index and a query's
 scores are summed where its row is, without shuffle; a larger one is joined.
 """
@@ -26,9 +26,14 @@ def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _rounded(raw, digits: int, floor):
+    """raw to digits, halves up: the same arithmetic on a column and on an array, so both ways of search rank alike."""
+    return floor(raw * 10.0**digits + 0.5) / 10.0**digits
+
+
 def top_k(scores: DataFrame, query: str, item: str, k: int, digits: int = 9) -> DataFrame:
     """query, item, raw -> query, item, raw, score, rank: positive scores, by (score desc, item)."""
-    scores = scores.withColumn("raw", F.round("raw", digits)).filter("raw > 0")
+    scores = scores.withColumn("raw", _rounded(F.col("raw"), digits, F.floor)).filter("raw > 0")
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("raw"), item))).filter(F.col("rank") <= k)
     return ranked.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy(query)))
 
@@ -60,9 +65,9 @@ def _joined(queries: DataFrame, posting: DataFrame, query: str, item: str) -> Da
 def tfidf(queries: DataFrame, corpus: DataFrame, query: str, item: str) -> DataFrame:
     """Cosine of L2-normalised tf * (ln((1 + N) / (1 + df)) + 1); query terms outside the corpus don't count."""
     posting = tfidf_postings(corpus, item)
-    idf = posting.select("term", "wq").distinct()
-    norm = queries.join(idf, "term").groupBy(query).agg(F.sqrt(F.sum(F.col("tf") * F.col("wq") * F.col("tf") * F.col("wq"))).alias("norm"))
-    return _joined(queries, posting, query, item).join(norm, query).select(query, item, (F.col("raw") / F.col("norm")).alias("raw"))
+    own = F.col("tf") * F.col("wq")
+    asked = queries.join(posting.select("term", "wq").distinct(), "term").withColumn("q", own / F.sqrt(F.sum(own * own).over(Window.partitionBy(query))))
+    return asked.drop("wq").join(posting, "term").groupBy(query, item).agg(F.sum(F.col("q") * F.col("w")).alias("raw"))
 
 
 def tfidf_postings(corpus: DataFrame, item: str) -> DataFrame:
@@ -123,7 +128,8 @@ class Index:
         which, local = np.unique(row, return_inverse=True)
         place = np.arange(reads.sum()) - np.repeat(np.cumsum(reads) - reads, reads) + np.repeat(self.first[term], reads)
         cell = np.repeat(local, reads) * len(self.items) + self.at[place]
-        raw = np.bincount(cell, np.repeat(weight, reads) * self.weight[place], len(which) * len(self.items)).reshape(len(which), len(self.items)).round(digits)
+        raw = np.bincount(cell, np.repeat(weight, reads) * self.weight[place], len(which) * len(self.items))
+        raw = _rounded(raw.reshape(len(which), len(self.items)), digits, np.floor)
         best = np.argsort(-raw, axis=1, kind="stable")[:, :k]
         score = np.take_along_axis(raw, best, axis=1)
         r, rank = np.nonzero(score > 0)
@@ -149,13 +155,13 @@ def search(docs: DataFrame, query: str, tokens: Column, corpus: DataFrame, item:
     without a positive score give none. method: "bm25" or "tfidf".
     """
     posting = {"bm25": bm25_postings, "tfidf": tfidf_postings}[method](corpus, item)
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # a small file is one split, but its ranking is worth all cores
-        docs = docs.repartition(cores)
     docs = docs.select(query, tokens.alias("tokens"))
     if corpus.limit(POSTINGS + 1).count() > POSTINGS:
-        counts = term_counts(docs, query, F.col("tokens"))
-        return top_k({"bm25": bm25, "tfidf": tfidf}[method](counts, corpus, query, item), query, item, k, digits)
+        # each row is ranked by itself, as rows that share an id are by the index
+        numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(query).alias("id")).alias("_row"), "tokens")
+        counts = term_counts(numbered, "_row", F.col("tokens"))
+        best = top_k({"bm25": bm25, "tfidf": tfidf}[method](counts, corpus, "_row", item), "_row", item, k, digits)
+        return best.select(F.col("_row.id").alias(query), item, "raw", "score", "rank")
     index = docs.sparkSession.sparkContext.broadcast(_index(posting, item, method == "tfidf"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

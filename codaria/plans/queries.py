@@ -80,7 +80,7 @@ SQL_CODES = f"""codes AS (SELECT item_id AS ordinal, {SQL_CODE.format('item_id')
 
 
 def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.retrieval_text(F.col("text")).alias("q"))
+    return io.spread(table(spark, sf_dir, "documents")).select("doc_id", T.retrieval_text(F.col("text")).alias("q"))
 
 
 @query(f"SELECT doc_id, {sql_retrieval('text')} AS retrieval_text FROM documents")
@@ -138,7 +138,7 @@ def tfidf_topk(spark, sf_dir):
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of documents between punctuation."""
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[.,;:!?\n]")).alias("ordinal", "text"))
+    parts = io.spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.split("text", r"[.,;:!?\n]")).alias("ordinal", "text"))
     return parts.withColumn("normalized_text", T.mention_text(F.col("text"), lambda c: c)).withColumn("mention_id", F.concat_ws(":", "doc_id", "ordinal")).withColumn("char_start", F.col("ordinal")).withColumn("char_end", F.col("ordinal") + 1)
 
 
@@ -154,10 +154,10 @@ def title_exact_join(spark, sf_dir):
 
 def _aliases(spark, sf_dir) -> DataFrame:
     parts = codes(spark, sf_dir).select("code_3char", "ordinal", F.posexplode(F.split("text", r"[.,;:!?\n]")).alias("p", "alias"))
-    return parts.select("code_3char", T.alias_key(F.col("alias")).alias("alias_norm"), (F.col("ordinal") * 1000 + F.col("p")).alias("ordinal"))
+    return parts.select("code_3char", T.alias_key(F.col("alias")).alias("alias_norm"), F.struct("ordinal", "p").alias("ordinal"))
 
 
-SQL_ALIASES = f"""aliases AS (SELECT key, arg_max(code, place) AS code FROM (SELECT code, ordinal * 1000 + p - 1 AS place, lower({sql_strip("regexp_replace(seg[p], '" + S + "+', ' ', 'g')")}) AS key
+SQL_ALIASES = f"""aliases AS (SELECT key, arg_max(code, place) AS code FROM (SELECT code, ordinal::HUGEINT * 1000000000 + p - 1 AS place, lower({sql_strip("regexp_replace(seg[p], '" + S + "+', ' ', 'g')")}) AS key
  FROM (SELECT code, ordinal, regexp_split_to_array(text, '[.,;:!?\\n]') AS seg FROM codes), unnest(range(1, len(seg) + 1)) AS u(p)) WHERE key <> '' GROUP BY key)"""
 
 
@@ -196,7 +196,7 @@ def merge_candidates(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SQL_LINKS}, {SQL_MERGED}, one AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY doc_id, code_3char ORDER BY score DESC, method, mention_id NULLS FIRST) = 1)
+    f"""WITH {SQL_LINKS}, {SQL_MERGED}, one AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY doc_id, code_3char ORDER BY score DESC, method, char_start NULLS LAST, mention_id NULLS LAST) = 1)
 SELECT doc_id, mention_id, code_3char, method, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code_3char)::INT AS rank FROM one QUALIFY rank <= 5"""
 )
 def rank_and_cut(spark, sf_dir):
@@ -223,7 +223,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_RULES = f"""rules AS (SELECT 'r' || p_partkey AS rule_id, {SQL_CODE.format('(p_partkey % 23)')} AS code_3char,
- ['include_note', 'exclude_note', 'use_additional_code', 'code_first', 'general_note'][(p_size % 5 + 1)::INT] AS topic FROM part WHERE p_partkey % 97 < 3)"""
+ ['include_note', 'exclude_note', 'use_additional_code', 'code_first', 'general_note'][(p_size % 5 + 1)::INT] AS topic FROM part)"""
 SQL_ADJUSTED = """applied AS (SELECT s.doc_id, s.code_3char, r.rule_id, CASE WHEN topic = 'include_note' THEN 0.10 WHEN topic = 'exclude_note' AND mention_score < 0.9 THEN -0.25
  WHEN topic IN ('code_first', 'use_additional_code') AND mention_score = 0 THEN -0.10 END::DOUBLE AS a FROM scores s JOIN rules r USING (code_3char)),
 adjusted AS (SELECT s.*, coalesce(x.adjustment, 0.0)::DOUBLE AS adjustment, coalesce(x.ids, '') AS rule_ids FROM scores s LEFT JOIN
@@ -334,7 +334,7 @@ def _pages(spark, sf_dir) -> DataFrame:
 
 SQL_LINES = f"""known AS (SELECT {SQL_CODE.format('item_id')} AS own FROM benchmark),
 line AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, x) - 1 AS line_no, x AS line FROM (SELECT conv_id, turn, trim(CASE turn % 3 WHEN 0 THEN {SQL_CODE.format('((conv_id * 7 + turn) % 60)')} || ' ' WHEN 1 THEN 'Includes: ' ELSE '' END
- || regexp_replace(substring(text, 1, 40), '[\\s]+', ' ', 'g'), ' ') AS x FROM conversations)),
+ || regexp_replace(text, '[\\s]+', ' ', 'g'), ' ') AS x FROM conversations)),
 own AS (SELECT line.*, CASE WHEN substring(line, 1, 3) IN (SELECT own FROM known) AND regexp_matches(line, '^[A-Z][0-9]{{2}} ') THEN substring(line, 1, 3) END AS own FROM line),
 filled AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS code,
  lead(line, 1) OVER w AS n1, lead(line, 2) OVER w AS n2, lead(line, 3) OVER w AS n3 FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY line_no))"""
@@ -367,9 +367,8 @@ def title_last_wins(spark, sf_dir):
 
 @query("SELECT p_brand AS code, lower(p_name) AS norm, arg_min(p_type, p_partkey) AS kind FROM part GROUP BY 1, 2")
 def alias_first_wins(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("norm", T.alias_key(F.col("p_name")))
-    first = F.row_number().over(Window.partitionBy("p_brand", "norm").orderBy("p_partkey"))
-    return p.withColumn("rn", first).filter("rn = 1").select(F.col("p_brand").alias("code"), "norm", F.col("p_type").alias("kind"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("alias"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("seq"))
+    return ontology.first_aliases(p).select("code", "norm", "kind")
 
 
 _TARGET = f"targets AS (SELECT doc_id, code AS label FROM (SELECT doc_id, {sql_retrieval('text')} AS text FROM documents) d JOIN (SELECT code, {sql_retrieval('text')} AS t FROM codes) c ON contains(d.text, c.t))"
@@ -379,12 +378,13 @@ cells AS (SELECT labels_.label, docs.doc_id, coalesce(round(lex.score, 6), 0.0)
 
 
 def _predicted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    scores = doc_title_containment(spark, sf_dir).withColumnRenamed("code", "label")
-    docs = document_queries(spark, sf_dir)
-    items = codes(spark, sf_dir).select(F.col("code_3char").alias("label"), T.retrieval_text(F.col("text")).alias("t"))
-    found = lexicon.contained_keys(docs.withColumnRenamed("q", "text"), items.withColumnRenamed("t", "key"))
-    targets = found.join(items, found["key"] == items["t"]).select("doc_id", "label")
-    return scores, targets, scores.select("doc_id").distinct()
+    """Scores, targets and documents, found by one pass of an automaton of titles and items together and kept."""
+    book, docs = codes(spark, sf_dir), document_queries(spark, sf_dir).withColumnRenamed("q", "text")
+    titles = lexicon.title_index(book)
+    items = book.select(F.col("code_3char").alias("label"), T.retrieval_text(F.col("text")).alias("key"))
+    found = lexicon.contained_keys(docs, titles.select("key").union(items.select("key"))).persist()
+    scores = lexicon.score_titles(found, titles).select("doc_id", F.col("code").alias("label"), F.round("score", 6).alias("score"))
+    return scores, found.join(items, "key").select("doc_id", "label"), scores.select("doc_id").distinct()
 
 
 _F1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END"
@@ -436,7 +436,7 @@ def masked_mean_pool(spark, sf_dir):
 
 @query(
     """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)), 6) AS score
-FROM e JOIN e q ON q.vec_id < 5 AND q.vec_id <> e.vec_id) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM p QUALIFY rank <= 10"""
+FROM e JOIN e q ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM p QUALIFY rank <= 10"""
 )
 def cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -444,7 +444,7 @@ def cosine_topk(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT label AS doc_id, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 < 8), q AS (SELECT vec_id AS label, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 3),
+    """WITH t AS (SELECT label AS doc_id, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 < 8), q AS (SELECT vec_id AS label, embedding::DOUBLE[] AS q FROM embeddings),
 s AS (SELECT doc_id, label, v, list_dot_product(q, v) AS s FROM t, q), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id, label)) AS e FROM s), a AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id, label) AS a FROM e)
 SELECT doc_id, label, (d - 1)::INT AS dim, round(sum(a * v[d]), 6) AS value FROM a, unnest(range(1, 65)) AS u(d) GROUP BY 1, 2, 3"""
 )
@@ -460,13 +460,13 @@ def split_manifest(spark, sf_dir):
 
 
 @query(
-    """SELECT coalesce(a.c_nationkey, b.s_nationkey) AS code, coalesce(nullif(a.n, ''), b.n) AS title, b.n AS title_en FROM (SELECT c_nationkey, min(c_name) AS n FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1) a
-FULL JOIN (SELECT s_nationkey, min(s_name) AS n FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1) b ON a.c_nationkey = b.s_nationkey"""
+    """SELECT coalesce(a.c_nationkey, b.s_nationkey) AS code, coalesce(nullif(a.n, ''), b.n) AS title, b.n AS title_en FROM (SELECT c_nationkey, min(c_name) AS n FROM customer GROUP BY 1) a
+FULL JOIN (SELECT s_nationkey, min(s_name) AS n FROM supplier GROUP BY 1) b ON a.c_nationkey = b.s_nationkey"""
 )
 def en_vi_full_outer(spark, sf_dir):
     a = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("code")).agg(F.min("c_name").alias("vi"))
     b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("code")).agg(F.min("s_name").alias("title_en"))
-    return a.join(b, "code", "full").select("code", F.coalesce(F.nullif("vi", F.lit("")), "title_en").alias("title"), "title_en")
+    return ontology.both_titles(a, b).select("code", F.col("title_vi").alias("title"), "title_en")
 
 
 _TOKENS = "SELECT doc_id, len({0}) AS n, len(list_distinct({0})) AS n_distinct FROM (SELECT doc_id, {1} AS t FROM documents)"
@@ -516,7 +516,7 @@ def text_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.hash8(T.rule_text(text)).alias("hash8"), F.sha2(text, 256).alias("sha256"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN p_size <= 22 THEN 'Ch-' || p_size END AS chapter_id, CASE WHEN p_partkey % 3 = 0 THEN 'NOS' WHEN p_partkey % 3 = 1 THEN 'KXĐK' END AS nos FROM part WHERE p_size <= 24")
+@query(f"SELECT p_partkey, CASE WHEN p_size <= 22 THEN 'Ch-' || p_size END AS chapter_id, CASE WHEN p_partkey % 3 = 0 THEN 'NOS' WHEN p_partkey % 3 = 1 THEN 'KXĐK' END AS nos FROM part")
 def chapter_and_nos(spark, sf_dir):
     roman = F.get(F.array(*[F.lit(r) for r in (*T.ROMAN, "XXIII", "IXX")]), F.col("p_size").cast("int") - 1)
     form = F.concat("p_name", F.element_at(F.array(F.lit(" nos, x"), F.lit(" (kxđk)"), F.lit(" nosy")), (F.col("p_partkey") % 3 + 1).cast("int")))
@@ -608,7 +608,7 @@ def macro_auroc(spark, sf_dir):
     return out.select(F.round("macro_auroc", 6).alias("macro_auroc"))
 
 
-@query(f"WITH {_SCORES}, {SQL_CODES} SELECT label AS code_3char, count(*) AS n FROM t WHERE label NOT IN (SELECT code FROM codes WHERE ordinal % 4 <> 1) GROUP BY 1")
+@query(f"WITH {_SCORES}, {SQL_CODES} SELECT label AS code_3char, count(*) AS n FROM t WHERE label NOT IN (SELECT code FROM codes) GROUP BY 1")
 def label_audit(spark, sf_dir):
     """Labels whose code is not in the book, by code."""
     _, t = _link_scores(spark, sf_dir)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -34,15 +34,24 @@ SOURCES = {
 }
 
 
-def numbered(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """df with consecutive numbers from 0 in the order of its partitions, counted partition by partition."""
-    part = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = part.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
-    from pyspark.sql import Window
+def numbered(df: DataFrame, name: str = "row_index", by_file: bool = False) -> DataFrame:
+    """df, as a reader gave it, with numbers from 0 in the order of its files by path and their rows; by_file: from 0 in each file.
 
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_part", "first", before.alias("before"))
-    return part.join(F.broadcast(sizes), "_part").withColumn(name, F.col("before") + F.col("_at") - F.col("first")).drop("_part", "_at", "before", "first")
+    Rows are counted block by block; what is broadcast has one row a block of a file.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    part = df.select("*", at.alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    sizes = part.groupBy("_block").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    order = (Window.partitionBy("_block.file") if by_file else Window).orderBy("_block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_block", "first", before.alias("before"))
+    return part.join(F.broadcast(sizes), "_block").withColumn(name, F.col("before") + F.col("_at") - F.col("first")).drop("_block", "_at", "before", "first")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes of fewer files than there are: a small file is one split, but the work on its texts is worth all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def snapshots(df: DataFrame, dataset: str, split: str, source: Source, path: str, version: str = "1") -> DataFrame:
@@ -59,6 +68,12 @@ def snapshots(df: DataFrame, dataset: str, split: str, source: Source, path: str
 
 def ingest(spark: SparkSession, dataset: str, folder: str) -> DataFrame:
     """Snapshots of all splits of a registered dataset."""
+    good, bad = ingest_checked(spark, dataset, folder)
+    return good
+
+
+def ingest_checked(spark: SparkSession, dataset: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots, and those that are none: rows without an id or a payload, which are counted and not written."""
     if dataset not in SOURCES:
         raise ValueError(f"unknown dataset {dataset!r}")
     source = SOURCES[dataset]
@@ -67,12 +82,13 @@ def ingest(spark: SparkSession, dataset: str, folder: str) -> DataFrame:
         path = f"{folder}/{name}"
         part = snapshots(READERS[source.format](spark, path, source.options), dataset, split, source, path)
         out = part if out is None else out.unionByName(part)
-    return out
+    sound = F.col("source_record_id").isNotNull() & F.col("payload").isNotNull()
+    return out.filter(sound), out.filter(~sound)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1), value."""
-    return numbered(spark.read.text(path), "n").select((F.col("n") + 1).alias("line_no"), "value")
+    """line_no (from 1 in each file), value."""
+    return numbered(spark.read.text(path), "n", by_file=True).select((F.col("n") + 1).alias("line_no"), "value")
 
 
 def quarantine(spark: SparkSession, path: str, record: str) -> tuple[DataFrame, DataFrame]:
@@ -119,6 +135,24 @@ def read_seed(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.upper("abbr").alias("abbr"), "expansion")
 
 
+def fetch(url: str, path: str, timeout: float = 120.0) -> str:
+    """path, after the document at an http(s) url was written there; redirects are followed, errors raise."""
+    import urllib.request
+
+    if not url.startswith(("http://", "https://")):
+        raise FileNotFoundError(url)
+    with urllib.request.urlopen(url, timeout=timeout) as answer, open(path, "wb") as out:
+        while block := answer.read(1 << 20):
+            out.write(block)
+    return path
+
+
+def form_feed_pages(content: bytes) -> list[str]:
+    """The pages of UTF-8 text, parted by form feeds; an extractor for books that are text already."""
+    pages = content.decode("utf-8").split("\f")
+    return pages if any(p.strip() for p in pages) else []
+
+
 def pages_from_binary(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]], source: str = "icd10_official_pdf") -> DataFrame:
     """One document a page of binary files, by a pluggable extractor of page texts; raises for files without pages."""
     import pandas as pd
