@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from codaria.llm.storage import cut
 
 
+#: Edges that one task of a round begins with, at least.
+EDGES = 100_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v), u > v, distinct. Returns the same form."""
     if large:
@@ -39,6 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     sign = None
     for _ in range(max_rounds):
+        if sign:  # as many files as the edges are worth
+            edges = edges.coalesce(max(8, sign[0] // EDGES))
         edges = cut(_star(_star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:

@@ -84,7 +84,7 @@ def _placed(docs: DataFrame, cfg: MixConfig) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     goal = totals.join(goal, "source_key").withColumn("epochs", epochs).withColumn("left", words - F.col("epochs") * F.col("source_size"))
     goal = cut(goal.withColumn("ranges", F.ceil(F.col("rows") / cfg.range_rows)).drop("source"))
-    rows = spread_join(rows, goal.drop("rows"), ["source_key"], hot_keys(totals.select("source_key", F.col("rows").alias("n")), rows.count()))
+    rows = spread_join(rows, goal.drop("rows"), ["source_key"], hot_keys(totals, rows.count(), ["source_key"], "rows"))
     # leading bits of the key as a fraction, times the source's ranges
     place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(2**32)).cast("long")
     rows = rows.withColumn("place", place).withColumn("stretch", F.floor(F.col("place") / cfg.stretch_ranges).cast("long"))

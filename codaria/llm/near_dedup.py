@@ -6,13 +6,13 @@
 3. Representatives that share a band bucket get a star edge to the bucket's
    smallest id, its head, never all pairs. Each star is verified: its head's set is
    compared with its members', which are cut into blocks. Links are united.
-4. A bucket whose members are then one component is done. The others are open;
-   their stars' connected components are the neighbourhoods: each candidate pair
-   whose ends are still apart lies in one. All but the largest component of a
-   neighbourhood are compared with all of it, block by block, through an inverted
-   list of exact shingle intersections. So copies of one text cost time in
-   proportion to their number, as all but few are settled by their star.
-5. All links give the final components.
+4. A bucket whose members are then one component is done. The others are open.
+   Each candidate pair whose ends are still apart lies in the open buckets of one
+   head; all but the largest component of these are compared with all of them,
+   block by block, through an inverted list of exact shingle intersections. So
+   copies of one text cost time in proportion to their number, as all but few are
+   settled by their star.
+5. The new links join the components.
 
 Keys that many rows share, sets as well as bands, are joined by broadcasting the
 few hot ones (skew.py).
@@ -46,9 +46,12 @@ class NearDedupConfig:
     shingle: int = 5
     bands: int = 25
     rows: int = 5
-    #: Documents and shingles that one task compares at once; larger stars and neighbourhoods are cut into blocks.
+    #: Documents and shingles that one task compares at once; larger stars and groups of open buckets are cut into blocks.
     block_docs: int = 2048
     block_shingles: int = 2_000_000
+    #: Smaller groups are cut into up to this many blocks too, of no fewer documents than these.
+    spread_blocks: int = 12
+    spread_docs: int = 256
 
 
 @np.errstate(over="ignore")
@@ -177,7 +180,8 @@ def _link_groups(percent: int, shingle: int):
 
 def _blocks(group: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     """group(hub, docs, shingles) with blocks, the number that its rows are cut into."""
-    return group.select("hub", F.greatest(F.ceil(F.col("docs") / cfg.block_docs), F.ceil(F.col("shingles") / cfg.block_shingles), F.lit(1)).cast("long").alias("blocks"))
+    few = F.least(F.ceil(F.col("docs") / cfg.spread_docs), F.lit(cfg.spread_blocks))
+    return group.select("hub", F.greatest(F.ceil(F.col("docs") / cfg.block_docs), F.ceil(F.col("shingles") / cfg.block_shingles), few, F.lit(1)).cast("long").alias("blocks"))
 
 
 def _links(texts: DataFrame, dealt: DataFrame, cfg: NearDedupConfig) -> DataFrame:
@@ -188,28 +192,25 @@ def _links(texts: DataFrame, dealt: DataFrame, cfg: NearDedupConfig) -> DataFram
     return rows.mapInArrow(_link_groups(cfg.percent, cfg.shingle), f"a {kind}, b {kind}").filter("a != b")
 
 
-def _star_groups(star: DataFrame, sizes: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+def _star_groups(star: DataFrame, sizes: DataFrame, hot: DataFrame, cfg: NearDedupConfig) -> DataFrame:
     """place, side, doc_id: the members of each star in blocks, each with the star's head; star(a, hub)."""
     weight = star.join(sizes.withColumnRenamed("doc_id", "a"), "a").groupBy("hub").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     weight = cut(_blocks(weight, cfg))
-    blocks = spread_join(star, weight, ["hub"])
+    blocks = spread_join(star, weight, ["hub"], hot)
     place = F.xxhash64("hub", "block").alias("place")
     members = blocks.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).select(place, F.lit(0).cast("long").alias("side"), F.col("a").alias("doc_id"))
     heads = weight.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return cut(members.unionByName(heads.select(place, F.lit(1).cast("long").alias("side"), F.col("hub").alias("doc_id"))))
 
 
-def _open_groups(star: DataFrame, roots: DataFrame, sizes: DataFrame, cfg: NearDedupConfig) -> DataFrame:
-    """place, side, doc_id: of each neighbourhood of star(a, hub), every block with every block of those outside its largest component."""
-    hood = components(star.select("a", F.col("hub").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("hub"))
-    rows = hood.join(sizes, "doc_id").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rows = cut(rows)
+def _open_groups(rows: DataFrame, cfg: NearDedupConfig) -> DataFrame:
+    """place, side, doc_id: of each head's rows(hub, doc_id, root, n_shingles), every block with every block of those outside its largest component."""
     by_root = rows.groupBy("hub", "root").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     whole = by_root.groupBy("hub").agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"), F.max(F.struct("docs", "shingles", "root")).alias("most"))
     whole = cut(whole)
     rest = _blocks(whole.select("hub", (F.col("docs") - F.col("most.docs")).alias("docs"), (F.col("shingles") - F.col("most.shingles")).alias("shingles")), cfg)
-    weight = cut(_blocks(whole, cfg).join(rest.withColumnRenamed("blocks", "asked"), "hub").join(whole.select("hub", F.col("most.root").alias("most")), "hub"))
-    rows = spread_join(rows, weight, ["hub"])
+    weight = _blocks(whole, cfg).join(rest.withColumnRenamed("blocks", "asked"), "hub").join(whole.select("hub", F.col("most.root").alias("most")), "hub")
+    rows = spread_join(rows, weight, ["hub"], hot_keys(whole, rows.count(), ["hub"], "docs"))
     mine = F.xxhash64("doc_id")
     place = F.xxhash64("hub", "block", "part").alias("place")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -236,27 +237,34 @@ def near_duplicates(docs: DataFrame, cfg: NearDedupConfig = NearDedupConfig()) -
     heads = full.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("first"), F.count("*").alias("copies"))
     heads = cut(heads.select("key_a", "key_b", "first.*", "copies"))
     many = heads.filter("copies > 1").select("key_a", "key_b", F.col("doc_id").alias("b"), "copies")
-    equal = spread_join(full.select(F.col("doc_id").alias("a"), "key_a", "key_b"), many.drop("copies"), ["key_a", "key_b"], hot_keys(many, sk.count(), "copies")).select("a", "b")
-    equal = cut(equal.filter("a != b"))
+    keys = ["key_a", "key_b"]
+    equal = spread_join(full.select(F.col("doc_id").alias("a"), *keys), many.drop("copies"), keys, hot_keys(many, sk.count(), keys, "copies")).select("a", "b").filter("a != b")
     sizes = heads.groupBy("doc_id").agg(F.sum("n_shingles").alias("n_shingles"))
     bucket = heads.select(F.col("doc_id").alias("a"), F.explode("bands").alias("band"))
     found = cut(bucket.groupBy("band").agg(F.min("a").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    hot = hot_keys(found, heads.count())
+    hot = hot_keys(found, cfg.bands * heads.count(), ["band"])
     star = cut(spread_join(bucket, found.drop("n"), ["band"], hot).filter("a != hub"))
     texts = docs.select("doc_id", F.col("text").cast("string"))
-    links = cut(_links(texts, _star_groups(star.select("a", "hub").distinct(), sizes, cfg), cfg).union(equal))
+    edges = cut(star.select("a", "hub").distinct())
+    hot_hubs = hot_keys(edges.groupBy("hub").agg(F.count("*").alias("n")), edges.count(), ["hub"])
+    links = _links(texts, _star_groups(edges, sizes, hot_hubs, cfg), cfg).union(equal)
     roots = cut(components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("root")))
     # a bucket is its star's members and its head
-    root = F.coalesce("root", "a")
     ends = star.select("a", "hub", "band").unionByName(found.select(F.col("hub").alias("a"), "hub", "band"))
-    ends = ends.join(roots.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("root", root)
-    apart = ends.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most")
-    apart = cut(apart.select("band"))
+    ends = ends.join(roots.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    apart = cut(ends.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("band"))
     if not apart.isEmpty():
-        rest = cut(spread_join(star, apart, ["band"], hot).select("a", "hub").distinct())
-        more = _links(texts, _open_groups(rest, roots, sizes, cfg), cfg)
-        roots = components(more.union(roots.select("doc_id", "root")))
-        roots = roots.select(F.col("node").alias("doc_id"), F.col("component").alias("root"))
+        rest = spread_join(ends, apart, ["band"], hot).select("hub", F.col("a").alias("doc_id"), "root").distinct()
+        rest = cut(rest.join(sizes, "doc_id"))
+        more = _links(texts, _open_groups(rest, cfg), cfg)
+        # links of documents are links of their components, of which there are fewer
+        for end in ("a", "b"):
+            named = roots.select(F.col("doc_id").alias(end), F.col("root").alias(f"root_{end}"))
+            more = more.join(named, end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
+        joined = cut(components(more.distinct()).select(F.col("node").alias("root"), F.col("component").alias("last")))
+        alone = joined.select(F.col("root").alias("doc_id"), "root")  # documents that no star linked
+        roots = roots.unionByName(alone.join(roots.select("doc_id"), "doc_id", "left_anti").select("doc_id", "root"))
+        roots = roots.join(joined, "root", "left").select("doc_id", F.coalesce("last", "root").alias("root"))
     named = sk.select("doc_id", "n_shingles")
     out = named.filter("doc_id IS NOT NULL").join(roots, "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
