@@ -148,19 +148,19 @@ def _index(posting: DataFrame, item: str, cosine: bool) -> Index:
     return Index(terms, by_query, first, pc.index_in(rows[item].combine_chunks(), items).to_numpy()[order].astype(np.int64), rows["w"].to_numpy()[order], items, cosine)
 
 
-def search(docs: DataFrame, query: str, tokens: Column, corpus: DataFrame, item: str, method: str, k: int, digits: int = 9) -> DataFrame:
+def search(docs: DataFrame, query: str, tokens: Column, corpus: DataFrame, item: str, method: str, k: int, digits: int = 9, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query, item, raw, score, rank: the k best items of corpus(item, term, tf) for each row of docs, by (raw desc, item).
 
     tokens: the words of a row, repeated as they are; null counts as none. Rows
     without a positive score give none. method: "bm25" or "tfidf".
     """
-    posting = {"bm25": bm25_postings, "tfidf": tfidf_postings}[method](corpus, item)
+    posting = bm25_postings(corpus, item, k1, b) if method == "bm25" else tfidf_postings(corpus, item)
     docs = docs.select(query, tokens.alias("tokens"))
     if corpus.limit(POSTINGS + 1).count() > POSTINGS:
         # each row is ranked by itself, as rows that share an id are by the index
         numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(query).alias("id")).alias("_row"), "tokens")
         counts = term_counts(numbered, "_row", F.col("tokens"))
-        best = top_k({"bm25": bm25, "tfidf": tfidf}[method](counts, corpus, "_row", item), "_row", item, k, digits)
+        best = top_k(bm25(counts, corpus, "_row", item, k1, b) if method == "bm25" else tfidf(counts, corpus, "_row", item), "_row", item, k, digits)
         return best.select(F.col("_row.id").alias(query), item, "raw", "score", "rank")
     index = docs.sparkSession.sparkContext.broadcast(_index(posting, item, method == "tfidf"))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +33,58 @@ def pool(tokens: DataFrame, how: str = "mean") -> DataFrame:
     return rows.groupBy("doc_id", "dim").agg((F.sum(F.col("m") * F.col("v").cast("double")) / F.greatest(F.sum("m").cast("double"), F.lit(1e-9))).alias("value"))
 
 
+#: Labels whose queries are sent to the tasks at once.
+LABELS = 4096
+
+
 def label_attention(tokens: DataFrame, queries: DataFrame) -> DataFrame:
     """doc_id, label, dim, value: softmax over a document's valid tokens of query . token, weighing the token vectors.
 
-    queries(label, query): a table of labels, joined whole with each token; it is
-    the model's parameter table, of as many rows as there are labels.
+    tokens(doc_id, vector, mask), queries(label, query). Each batch of tokens gives
+    a document and label its largest score, and relative to it the sum of weights
+    and of weighted vectors; these partial sums are merged, so neither tokens nor
+    pairs of token and label are shuffled. queries are the model's parameters, a
+    row a label; they are sent in blocks of LABELS.
     """
-    live = tokens.filter(F.col("mask").cast("boolean")).select("doc_id", "pos", "vector")
-    pairs = live.crossJoin(queries).withColumn("s", dot(F.col("query"), F.col("vector")))
-    by = Window.partitionBy("doc_id", "label")
-    pairs = pairs.withColumn("e", F.exp(F.col("s") - F.max("s").over(by))).withColumn("a", F.col("e") / F.sum("e").over(by))
-    rows = pairs.select("doc_id", "label", "a", F.posexplode("vector").alias("dim", "v"))
-    return rows.groupBy("doc_id", "label", "dim").agg(F.sum(F.col("a") * F.col("v")).alias("value"))
+    live = tokens.filter(F.col("mask").cast("boolean")).select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((tokens, "doc_id"), (queries, "label"))}
+    blocks = max(1, -(-queries.count() // LABELS))
+    block = F.pmod(F.xxhash64("label"), F.lit(blocks))
+    parts = None
+    for i in range(blocks):
+        sent = live.sparkSession.sparkContext.broadcast(queries.filter(block == i).select("label", F.col("query").cast("array<double>").alias("query")).toArrow())
+        part = live.mapInArrow(_attend(sent), f"doc_id {kinds['doc_id']}, label {kinds['label']}, most double, total double, vector array<double>")
+        parts = part if parts is None else parts.unionByName(part)
+    most = parts.groupBy("doc_id", "label").agg(F.max("most").alias("top"))
+    scaled = parts.join(most, ["doc_id", "label"]).withColumn("scale", F.exp(F.col("most") - F.col("top")))
+    rows = scaled.select("doc_id", "label", "scale", "total", F.posexplode("vector").alias("dim", "v"))
+    return rows.groupBy("doc_id", "label", "dim").agg((F.sum(F.col("scale") * F.col("v")) / F.sum(F.col("scale") * F.col("total"))).alias("value"))
+
+
+def _attend(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        labels, n = table.column("label").combine_chunks(), table.num_rows
+        if not n:
+            return
+        query = np.array(table.column("query").to_pylist(), float)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vector = np.array(batch.column(1).to_pylist(), float)
+            docs = pc.unique(batch.column(0))
+            which = pc.index_in(batch.column(0), docs).to_numpy()
+            order = np.argsort(which, kind="stable")
+            edges = np.flatnonzero(np.diff(which[order], prepend=-1, append=len(docs)))
+            for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                x = vector[order[lo:hi]]
+                score = query @ x.T
+                most = score.max(axis=1)
+                weight = np.exp(score - most[:, None])
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array((weight @ x).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array([i] * n)), labels, pa.array(most), pa.array(weight.sum(axis=1)), sums], ["doc_id", "label", "most", "total", "vector"])
+
+    return run
 
 
 def label_logits(attended: DataFrame, weights: DataFrame) -> DataFrame:
@@ -52,6 +97,28 @@ def project(vectors: DataFrame, matrix: DataFrame) -> DataFrame:
     return vectors.join(matrix, "dim").groupBy("label", "out").agg(F.sum(F.col("value") * F.col("w")).alias("value")).withColumnRenamed("out", "dim")
 
 
+def head(tokens: DataFrame, queries: DataFrame, weights: DataFrame, dim: int, projection: DataFrame | None = None) -> DataFrame:
+    """doc_id, label, logit of a code-wise attention head over tokens(doc_id, pos, vector, mask).
+
+    weights(label, dim, w, bias) has one label a class. queries(label, dim, value) are
+    the model's own or another encoder's label vectors, of any width if
+    projection(dim, out, w) maps them to dim. Raises ValueError for tokens that
+    check_vectors refuses, another number of queries than of labels, or another width.
+    """
+    check_vectors(tokens, dim)
+    labels = weights.select("label").distinct()
+    if queries.select("label").distinct().count() != labels.count() or not labels.join(queries, "label", "left_anti").isEmpty():
+        raise ValueError("queries must be one for each label")
+    if projection is not None:
+        queries = project(queries, projection)
+    width = queries.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("dim").alias("d"), F.max("dim").alias("last"))
+    if not width.filter((F.col("n") != dim) | (F.col("d") != dim) | (F.col("last") != dim - 1)).isEmpty():
+        raise ValueError(f"queries must have {dim} components")
+    rows = queries.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("q"))
+    rows = rows.select("label", F.transform("q", lambda x: x["value"]).alias("query"))
+    return label_logits(label_attention(tokens, rows), weights)
+
+
 def cosine_to(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """The k rows of vectors(id, vector) nearest by cosine to each row of query(query_id, q); query is a short stated list."""
     pairs = vectors.crossJoin(F.broadcast(query)).filter("id != query_id")

@@ -8,9 +8,12 @@ aliases and rules under root/BOOK, from its table pages(page_no, raw_text).
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from pyspark.sql.utils import AnalysisException
 
 from codaria.functions import text as T
 from codaria.functions.abbreviations import default_seed
-from codaria.operators import candidates, lexicon, ontology, retrieval, rule_based, spans, weak_labels
+from codaria.operators import candidates, lexicon, metrics, ontology, retrieval, rule_based, spans, weak_labels
 from codaria.sources import io
 
 BOOK = "icd10"
@@ -37,6 +40,13 @@ class Run:
     labels: int = 5
     predicted: int = 5
     scores: int = 100
+    k1: float = 1.5
+    b: float = 0.75
+    targets: str | None = None  #: JSONL of silver targets; metrics are written only with it
+    aliases: str | None = None  #: JSONL of alias records in the place of the book's
+    rules: str | None = None  #: JSONL of rule records in the place of the book's
+    pdf: str | None = None  #: binary files or an http(s) address of the book, in the place of its table pages
+    extract: Callable[[bytes], list[str]] = io.form_feed_pages  #: page texts of one such file
 
     def path(self, dataset: str, table: str, split: str | None = None) -> str:
         return f"{self.root.rstrip('/')}/{dataset}/{table}" + (f"/split={split}" if split else "")
@@ -87,13 +97,14 @@ def mentions_of(docs: DataFrame) -> DataFrame:
     return found.withColumn("normalized_text", T.mention_text(F.col("text"))).withColumn("ordinal", F.col("char_start").cast("long"))
 
 
-def retrieval_predictions(docs: DataFrame, codes: DataFrame, predicted: int = 5, scores: int = 100) -> DataFrame:
+def retrieval_predictions(docs: DataFrame, codes: DataFrame, predicted: int = 5, scores: int = 100, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """doc_id, model_name, predicted_codes, ranked of each model, tfidf and bm25; documents without hits have no row."""
+    docs = io.spread(docs)
     text = docs.select("doc_id", T.query_text(F.col("retrieval_text"), F.col("normalized_text")).alias("q"))
     out = None
     for name, tokens in (("tfidf", T.word_tokens), ("bm25", T.space_tokens)):
         c = retrieval.term_counts(codes, "code_3char", tokens(F.col("search_text")))
-        top = retrieval.search(text, "doc_id", tokens(F.col("q")), c, "code_3char", name, scores)
+        top = retrieval.search(text, "doc_id", tokens(F.col("q")), c, "code_3char", name, scores, k1=k1, b=b)
         rows = rule_based.predictions(top.select("doc_id", F.col("code_3char").alias("code"), "score"), predicted, scores).withColumn("model_name", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -101,7 +112,7 @@ def retrieval_predictions(docs: DataFrame, codes: DataFrame, predicted: int = 5,
 
 def rule_predictions(docs: DataFrame, mentions: DataFrame, codes: DataFrame, aliases: DataFrame, rules: DataFrame, predicted: int = 5) -> DataFrame:
     """doc_id, model_name, predicted_codes, ranked of the rule-based model; codes and aliases with ordinal."""
-    text = docs.select("doc_id", T.query_text(F.col("retrieval_text"), F.col("normalized_text")).alias("text"))
+    text = io.spread(docs).select("doc_id", T.query_text(F.col("retrieval_text"), F.col("normalized_text")).alias("text"))
     scores = rule_based.rule_based(text, mentions, lexicon.title_index(codes), lexicon.alias_index(aliases), rules)
     return rule_based.predictions(scores, predicted).withColumn("model_name", F.lit("rule_based"))
 
@@ -127,13 +138,33 @@ def by_split(f: Callable[[Run, str, str], None]) -> Callable[[Run, str], None]:
 
 
 def _book(run: Run, table: str) -> DataFrame:
-    df = run.read(BOOK, table)
+    """A table of the code book; aliases and rules from a file if one is given, none if it isn't there."""
+    given = {"aliases": run.aliases, "rules": run.rules}.get(table)
+    df = io.read_optional(run.spark, given, {"aliases": "alias", "rules": "rule"}[table]).drop("created_at") if given else run.read(BOOK, table)
     return df if table in ("pages", "rules") else in_code_order(df)
 
 
+@stage
+def pdf_stage(run: Run, dataset: str = BOOK) -> None:
+    """pages from the files in run.pdf, or from what is fetched from that address."""
+    if not run.pdf:
+        raise FileNotFoundError("no file of the code book is given")
+    path = run.pdf
+    if path.startswith(("http://", "https://")):
+        with tempfile.TemporaryDirectory() as folder:
+            content = Path(io.fetch(path, f"{folder}/book")).read_bytes()
+        found = io.pages_of(run.spark.createDataFrame([(path, bytearray(content))], "path string, content binary"), run.extract)
+    else:
+        found = io.pages_from_binary(run.spark, path, run.extract)
+    run.write(found, BOOK, "pages")
+    ontology.check_pages(run.read(BOOK, "pages"))
+
+
 @stage
 def book_stage(run: Run, dataset: str = BOOK) -> None:
-    """codes, aliases and rules from pages."""
+    """codes, aliases and rules from pages; aliases as CSV and the rules' template besides."""
+    if run.pdf:
+        pdf_stage(run, dataset)
     pages = _book(run, "pages").select("page_no", "raw_text")
     ontology.check_pages(pages)
     codes = ontology.ontology(pages)
@@ -141,14 +172,19 @@ def book_stage(run: Run, dataset: str = BOOK) -> None:
     run.write(codes, BOOK, "codes")
     codes = _book(run, "codes")
     run.write(ontology.alias_dictionary(codes, pages), BOOK, "aliases")
-    run.write(ontology.coding_rules(ontology.guidance(pages), pages, codes), BOOK, "rules")
+    io.write_csv(run.read(BOOK, "aliases").orderBy("code_3char", "alias_norm"), run.path(BOOK, "aliases_csv"))
+    intro = ontology.guidance(pages)
+    ontology.check_guidance(intro)
+    run.write(ontology.coding_rules(intro, pages, codes), BOOK, "rules")
+    io.write_text(run.spark, io.rule_template(run.read(BOOK, "rules")), run.path(BOOK, "rules_template"))
 
 
 @stage
 def ingest_stage(run: Run, dataset: str) -> None:
     """snapshots from the dataset's files."""
-    run.write(io.ingest(run.spark, dataset, f"{run.source.rstrip('/')}/{dataset}"), dataset, "snapshots")
-    run.count(run.read(dataset, "snapshots").withColumnRenamed("source_split", "split"), None, dataset, "snapshots")
+    good, bad = io.ingest_checked(run.spark, dataset, f"{run.source.rstrip('/')}/{dataset}")
+    run.write(good, dataset, "snapshots")
+    run.count(run.read(dataset, "snapshots").withColumnRenamed("source_split", "split"), bad.withColumnRenamed("source_split", "split"), dataset, "snapshots")
 
 
 @stage
@@ -163,7 +199,7 @@ def parse_stage(run: Run, dataset: str) -> None:
 @by_split
 def normalize_stage(run: Run, dataset: str, split: str) -> None:
     """documents, text_sentences with offsets and raw_mentions."""
-    run.write(normalize(run.read(dataset, "parsed", split)), dataset, "documents", split)
+    run.write(normalize(io.spread(run.read(dataset, "parsed", split))), dataset, "documents", split)
     docs = run.read(dataset, "documents", split)
     run.write(spans.segment(docs.select("doc_id", F.col("normalized_text").alias("text"))), dataset, "text_sentences", split)
     run.write(mentions_of(docs), dataset, "raw_mentions", split)
@@ -215,4 +251,17 @@ def rules_stage(run: Run, dataset: str, split: str) -> None:
 def retrieval_stage(run: Run, dataset: str, split: str) -> None:
     """retrieval_predictions of TF-IDF and BM25."""
     docs = run.read(dataset, "documents", split)
-    _predict(run, retrieval_predictions(docs, _book(run, "codes"), run.predicted, run.scores), dataset, "retrieval_predictions", split)
+    _predict(run, retrieval_predictions(docs, _book(run, "codes"), run.predicted, run.scores, run.k1, run.b), dataset, "retrieval_predictions", split)
+
+
+@by_split
+def metrics_stage(run: Run, dataset: str, split: str) -> None:
+    """metrics: JSON of each model's metrics on the targets of the split, if targets are given."""
+    if not run.targets:
+        return
+    targets = io.read_required(run.spark, run.targets, "silver").filter(F.col("split") == split).select("doc_id", "silver_labels")
+    for table in ("rule_predictions", "retrieval_predictions"):
+        rows = run.read(dataset, table, split)
+        for model in sorted(r[0] for r in rows.select("model_name").distinct().collect()):
+            found = metrics.evaluate(rows.filter(F.col("model_name") == model), targets, GRANULARITY)
+            io.write_text(run.spark, json.dumps(found, indent=2), run.path(dataset, f"metrics/{model}", split))

@@ -155,6 +155,11 @@ def form_feed_pages(content: bytes) -> list[str]:
 
 def pages_from_binary(spark: SparkSession, path: str, extract: Callable[[bytes], list[str]], source: str = "icd10_official_pdf") -> DataFrame:
     """One document a page of binary files, by a pluggable extractor of page texts; raises for files without pages."""
+    return pages_of(spark.read.format("binaryFile").load(path).select("path", "content"), extract, source)
+
+
+def pages_of(files: DataFrame, extract: Callable[[bytes], list[str]], source: str = "icd10_official_pdf") -> DataFrame:
+    """pages_from_binary of files(path, content)."""
     import pandas as pd
 
     def run(frames):
@@ -167,8 +172,7 @@ def pages_from_binary(spark: SparkSession, path: str, extract: Callable[[bytes],
                 rows += [(f"{source}:page:{i}", i, t, not t.strip(), sha, len(texts)) for i, t in enumerate(texts, 1)]
             yield pd.DataFrame(rows, columns=["doc_id", "page_no", "raw_text", "is_empty_page", "sha256", "total_pages"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha"))
-    return files.mapInPandas(run, "doc_id string, page_no int, raw_text string, is_empty_page boolean, sha256 string, total_pages int")
+    return files.withColumn("sha", F.sha2("content", 256)).mapInPandas(run, "doc_id string, page_no int, raw_text string, is_empty_page boolean, sha256 string, total_pages int")
 
 
 # Parsers of snapshots: columns of the text, and the document id.
