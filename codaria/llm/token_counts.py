@@ -36,7 +36,7 @@ class PieceCounter:
     BPE models that leave text as it is; others encode whole texts.
     """
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __init__(self, model: bytes):
         import sentencepiece
