@@ -11,6 +11,7 @@ either, by order of the MD5 of their id; its classes are weighed back to their s
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +53,10 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(_inputs(total, most, size) @ self.weights)))
 
 
+#: Words whose emissions a worker remembers.
+MEMO = 1 << 18
+
+
 def held_out(doc_id):
     """Whether the label of a document is kept from training."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -96,15 +101,17 @@ def _toxic_words(words: Words, names: list[str], which: np.ndarray, toxic: np.nd
     many = label[groups].sum(), (~label[groups]).sum()
     forms = [OUTER.sub("", w.lower()) for w in names]
     out = np.zeros(len(names), bool)
+    pair = np.unique(which.astype(np.int64) * n + group[words.doc])
+    word, held = pair // n, pair % n  # each word of each group once
     for size in (None, 4, 5):
         keys = [f[:size] if size is None or len(f) > size else "" for f in forms]
         index = {k: i for i, k in enumerate(dict.fromkeys(keys))}
         of_word = np.array([index[k] for k in keys])
-        seen = np.unique(np.stack([of_word[which], group[words.doc]]), axis=1)
-        pos, neg = np.bincount(seen[0], label[seen[1]], len(index)), np.bincount(seen[0], ~label[seen[1]], len(index))
+        seen = np.unique(of_word[word] * n + held)
+        key, of_key = seen // n, label[seen % n]
+        pos, neg = np.bincount(key, of_key, len(index)), np.bincount(key, ~of_key, len(index))
         # a syllable that clean words also begin with tells by how many different words of a text do so
-        form = np.unique(np.stack([of_word[which], which, group[words.doc]]), axis=1)
-        most, least = (np.bincount(form[0], y[form[2]], len(index)) for y in (label, ~label))
+        most, least = (np.bincount(of_word[word], y[held], len(index)) for y in (label, ~label))
         odds = np.log((most + 0.5) / (many[0] + 1)) - np.log((least + 0.5) / (many[1] + 1))
         with np.errstate(divide="ignore", invalid="ignore"):
             parts = [np.where(k > 0, k * np.log(k / ((pos + neg) * m / len(groups))), 0) for k, m in zip((pos, neg), many, strict=True)]
@@ -136,21 +143,33 @@ def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], cfg: T
     return ToxicityModel(chain, w, float(shares[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    """Fits on labels(doc_id, toxic) of documents that are not held out; of several texts of an id, on the smallest."""
+def sample(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> tuple[DataFrame, tuple[float, float]]:
+    """place, toxic, text of the documents that the fit reads, and the parts of clean and toxic ones among labels(doc_id, toxic) that are not held out; of several texts of an id, the smallest."""
     known = labels.filter(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"), F.md5(F.col("doc_id").cast("string")).alias("place"))
-    known = known.join(docs.filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
-    known = cut(known)
+    known = cut(known.join(docs.filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi"))
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample = known.filter("toxic").orderBy("place").limit(cfg.train_toxic).union(known.filter("NOT toxic").orderBy("place").limit(cfg.train_clean))
-    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = known.filter("toxic").orderBy("place").limit(cfg.train_toxic).union(known.filter("NOT toxic").orderBy("place").limit(cfg.train_clean))
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("place", "toxic").agg(F.min("text").alias("text"))
     # of train_toxic + train_clean rows at most
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("place"))
-    rows = sorted(texts.withColumn("so_far", so_far).filter(F.col("so_far") <= cfg.train_bytes).drop("so_far").collect())
+    rows = texts.withColumn("so_far", so_far).filter(F.col("so_far") <= cfg.train_bytes).select("place", "toxic", "text")
     n = max(1, sum(count.values()))
-    return fit([r[2] for r in rows], np.array([r[1] for r in rows], bool), (count.get(False, 0) / n, count.get(True, 0) / n), cfg)
+    return rows, (count.get(False, 0) / n, count.get(True, 0) / n)
+
+
+def train(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+    """The model of sample(), fitted in one task, as the sample is bounded; the driver gets the model only."""
+    rows, shares = sample(docs, labels, cfg)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = fit([r[2] for r in found], np.array([r[1] for r in found], bool), shares, cfg)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    first = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(first["model"]) if first else fit([], np.zeros(0, bool), shares, cfg)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
@@ -216,7 +235,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxicit
 def _lookup(words: Words, known: dict[int, float], chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Emissions of the distinct words, and which one stands at each position; known is a bounded memo by hash."""
     key, first, which = np.unique(words.hashes(0), return_index=True, return_inverse=True)
-    if len(known) > 1 << 20:
+    if len(known) > MEMO:
         known.clear()
     out = np.empty(len(key))
     raw = words.data.tobytes()
