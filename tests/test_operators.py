@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codaria.functions import text as T
 from codaria.operators import candidates, lexicon, metrics, ontology, retrieval, rule_based, spans, weak_labels
-from codaria.plans import queries
+from codaria.plans import book_queries, queries  # noqa: F401
 from codaria.sources import io
 
 # The five-code book that the expected scores below are computed for.
