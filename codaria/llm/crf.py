@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -24,17 +25,27 @@ TWICE = re.compile(r"(.)\1+")
 SLOTS = 1 << 18
 
 
+def _letters(text: str) -> str:
+    return text if text.isalnum() else OUTER.sub("", text)
+
+
+_BIAS, _UPPER, _NONE = (zlib.crc32(n) % SLOTS for n in (b"bias", b"upper", b"none"))
+_WORD, _PLAIN, _HEAD, _TAIL = (zlib.crc32(n) for n in (b"w:", b"s:", b"p:", b"x:"))
+
+
 def word_features(word: str) -> list[int]:
     """Slots of a word's features: its letters, a form without disguise, both ends, capitals."""
-    leet = OUTER.sub("", word.lower().translate(LEET))
-    core = OUTER.sub("", word.lower())
-    plain = TWICE.sub(r"\1", leet)
-    names = ["bias", "w:" + core, "s:" + plain, "p:" + plain[:4], "x:" + plain[-4:]]
+    low = word.lower()
+    core = _letters(low)
+    plain = TWICE.sub(r"\1", core if low.isalpha() else _letters(low.translate(LEET)))
+    crc, whole = zlib.crc32, plain.encode()
+    head, tail = (whole[:4], whole[-4:]) if len(whole) == len(plain) else (plain[:4].encode(), plain[-4:].encode())
+    out = [_BIAS, crc(core.encode(), _WORD) % SLOTS, crc(whole, _PLAIN) % SLOTS, crc(head, _HEAD) % SLOTS, crc(tail, _TAIL) % SLOTS]
     if word.isupper() and len(core) > 1:
-        names.append("upper")
+        out.append(_UPPER)
     if not core:
-        names.append("none")
-    return [zlib.crc32(n.encode()) % SLOTS for n in names]
+        out.append(_NONE)
+    return out
 
 
 def _messages(trans: np.ndarray) -> np.ndarray:
@@ -76,8 +87,13 @@ class Chain:
     trans: np.ndarray
     start: np.ndarray
 
+    @cached_property
+    def _scores(self) -> list[float]:
+        return self.weights.tolist()
+
     def emission(self, word: str) -> float:
-        return float(self.weights[word_features(word)].sum())
+        scores = self._scores
+        return sum([scores[i] for i in word_features(word)])
 
     def messages(self, emission: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward messages that include each word's emission, and backward ones that don't; [n, 2] each."""

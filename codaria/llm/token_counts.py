@@ -36,6 +36,7 @@ class PieceCounter:
     BPE models that leave text as it is; others encode whole texts.
     """
 
+    #: Parts of either generation that are remembered: those met since the last turn, and those of the turn before.
     LIMIT = 1 << 18
 
     def __init__(self, model: bytes):
@@ -55,6 +56,7 @@ class PieceCounter:
             and all(p.type != 4 and MARK not in p.piece.lstrip(MARK) for p in spec.pieces)
         )
         self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def normal(self, text: Column) -> Column:
         """A space is the space mark to these models, so texts that differ in that only are one."""
@@ -62,10 +64,12 @@ class PieceCounter:
 
     def _part(self, part: str) -> int:
         # the model puts a mark before what it is given, so the part comes without its first one
-        n = len(self.model.encode(part)) if part else 1
+        n = self.older.get(part)
+        if n is None:
+            n = len(self.model.encode(part)) if part else 1
         if len(part) <= 64:
             if len(self.known) >= self.LIMIT:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[part] = n
         return n
 

@@ -53,7 +53,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(_inputs(total, most, size) @ self.weights)))
 
 
-#: Words whose emissions a worker remembers.
+#: Words whose emissions a worker remembers of either generation: those met since the last turn, and those of the turn before.
 MEMO = 1 << 18
 
 
@@ -188,7 +188,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = To
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        known: dict[int, float] = {}
+        known: Memo = [{}, {}]
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 words = words_of(batch.column(1).slice(a, b - a))
@@ -217,7 +217,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxicit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        known: dict[int, float] = {}
+        known: Memo = [{}, {}]
         for batch in batches:
             for a, b in chunks(batch.column(at)):
                 part = batch.slice(a, b - a)
@@ -232,17 +232,24 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxicit
     return docs.mapInArrow(run, docs.schema)
 
 
-def _lookup(words: Words, known: dict[int, float], chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emissions of the distinct words, and which one stands at each position; known is a bounded memo by hash."""
+Memo = list[dict[int, float]]
+
+
+def _lookup(words: Words, memo: Memo, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions of the distinct words, and which one stands at each position; memo is bounded and by hash."""
     key, first, which = np.unique(words.hashes(0), return_index=True, return_inverse=True)
-    if len(known) > MEMO:
-        known.clear()
+    if len(memo[0]) > MEMO:
+        memo[:] = [{}, memo[0]]
+    known, older = memo
     out = np.empty(len(key))
     raw = words.data.tobytes()
     for i, (k, at) in enumerate(zip(key.tolist(), first.tolist(), strict=True)):
         e = known.get(k)
         if e is None:
-            e = known[k] = chain.emission(raw[words.start[at] : words.end[at]].decode("utf-8", "replace"))
+            e = older.get(k)
+            if e is None:
+                e = chain.emission(raw[words.start[at] : words.end[at]].decode("utf-8", "replace"))
+            known[k] = e
         out[i] = e
     return out, which, key
 
