@@ -140,7 +140,8 @@ def leading_code(line: Column) -> Column:
 
 
 def is_full_form(text: Column) -> Column:
-    return (F.length(text) >= 3) & text.rlike(r"\p{Ll}")
+    """At least three characters, one of them lower case."""
+    return (F.length(text) >= 3) & text.rlike(r"\p{IsLowercase}")
 
 
 def fold_key(text: Column) -> Column:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codaria.functions.text import is_full_form
+
 # Cue words of each family, the lengths of the tail behind a cue,
 # function words that end no mention, and capitals that are no abbreviation.
 DISEASE = "bệnh|viêm|ung thư|đột quỵ|suy|xoắn|đái|hội chứng|nhiễm|bạch cầu|đái tháo đường|sa sút"
@@ -138,9 +140,9 @@ def definitions(docs: DataFrame) -> DataFrame:
                 if raw and "(" in raw:
                     rows += [(d, m[2], m[1].strip()) for m in re.finditer(r"([^()\n]{2,60}?)\s*\(([A-Z]{2,6})\)", raw)]
                     rows += [(d, m[1], m[2].strip()) for m in re.finditer(r"\b([A-Z]{2,6})\s*\(([^)\n]{2,60}?)\)", raw)]
-            yield pd.DataFrame([r for r in rows if len(r[2]) >= 3 and any(c.islower() for c in r[2])], columns=["doc_id", "abbr", "full"])
+            yield pd.DataFrame(rows, columns=["doc_id", "abbr", "full"])
 
-    found = docs.select("doc_id", "raw_text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, abbr string, full string")
+    found = docs.select("doc_id", "raw_text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, abbr string, full string").filter(is_full_form(F.col("full")))
     return found.groupBy("doc_id", "abbr").agg(F.count_distinct("full").alias("n"), F.min("full").alias("full")).filter("n = 1").drop("n")
 
 

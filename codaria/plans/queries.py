@@ -245,10 +245,10 @@ SQL_EVIDENCE = f"""spans AS (SELECT doc_id, code_3char, mention_id, char_start,
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code_3char ORDER BY score DESC, char_start, mention_id) AS rn FROM spans)"""
 
 
-@query(f"WITH {SQL_LINKS}, {SQL_MERGED}, {SQL_EVIDENCE} SELECT doc_id, code_3char, mention_id, methods, score, rn::INT AS place FROM top WHERE rn <= 3")
+@query(f"WITH {SQL_LINKS}, {SQL_MERGED}, {SQL_EVIDENCE} SELECT doc_id, code_3char, mention_id, 'text ' || substring(mention_id, 2) AS text, methods, score, rn::INT AS place FROM top WHERE rn <= 3")
 def evidence_spans(spark, sf_dir):
     e = weak_labels.evidence(merged_links(spark, sf_dir), _mention_table(spark, sf_dir)).select("doc_id", "code_3char", F.posexplode("evidence").alias("place", "e"))
-    return e.select("doc_id", "code_3char", "e.mention_id", F.array_join("e.methods", "+").alias("methods"), "e.score", (F.col("place") + 1).alias("place"))
+    return e.select("doc_id", "code_3char", "e.mention_id", "e.text", F.array_join("e.methods", "+").alias("methods"), "e.score", (F.col("place") + 1).alias("place"))
 
 
 @query(
@@ -416,9 +416,18 @@ def chapter_projection(spark, sf_dir):
     return metrics.chapter_projection(scores, codes(spark, sf_dir))
 
 
-@query()
+@query(
+    """WITH RECURSIVE n AS (SELECT lower(p_name) AS s, min(p_partkey) AS place FROM part GROUP BY 1),
+w AS (SELECT s, place, array_to_string(list_sort(string_split(s, ' ')), ' ') AS t FROM n WHERE s <> ''),
+p AS (SELECT DISTINCT a.t AS a, b.t AS b FROM w a, w b),
+d AS (SELECT a, b, 0 AS i, list_transform(range(length(b)), lambda x: 0) AS row FROM p
+ UNION ALL SELECT a, b, i + 1, list_transform(range(1, length(b) + 1), lambda j: list_max(list_slice(list_transform(range(1, length(b) + 1), lambda k: greatest(row[k], CASE WHEN k > 1 THEN row[k - 1] ELSE 0 END + (a[i + 1] = b[k])::INT)), 1, j))) FROM d WHERE i < length(a)),
+l AS (SELECT a, b, 200.0::DOUBLE * row[length(b)] / (length(a) + length(b)) AS ratio FROM d WHERE i = length(a)),
+r AS (SELECT q.s AS query, c.place, ratio FROM w q JOIN l ON l.a = q.t JOIN w c ON c.t = l.b WHERE ratio >= 75 QUALIFY row_number() OVER (PARTITION BY q.s ORDER BY ratio DESC, c.place) <= 10)
+SELECT p_partkey::VARCHAR AS doc_id, 'P' || place AS code_3char, round(ratio / 100, 6) AS score FROM part JOIN r ON lower(p_name) = query"""
+)
 def fuzzy_topk(spark, sf_dir):
-    """Names of parts against names of parts; tests hold it against a table of the textbook recurrence."""
+    """Names of parts against names of parts."""
     p = table(spark, sf_dir, "part")
     names = p.select(F.lower("p_name").alias("text"), F.col("p_partkey").cast("string").alias("doc_id"), F.col("p_partkey").cast("string").alias("mention_id"), F.lit(0).alias("char_start"), F.lit(0).alias("char_end"))
     index = p.groupBy(F.lower("p_name").alias("choice")).agg(F.min("p_partkey").alias("place")).select(F.concat(F.lit("P"), F.col("place").cast("string")).alias("code"), "choice", "place")
@@ -628,3 +637,9 @@ def document_candidates(spark, sf_dir):
     docs = document_queries(spark, sf_dir).select("doc_id", F.col("q").alias("retrieval_text"), F.col("q").alias("normalized_text"))
     out = candidates.document_links(docs, codes(spark, sf_dir))
     return out.select("doc_id", "code_3char", "method", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_SCORES}, {SQL_CODES} SELECT coalesce(chapter_id, 'unknown') AS chapter_id, count(*) AS n FROM t JOIN codes ON codes.code = t.label GROUP BY 1")
+def chapter_counts(spark, sf_dir):
+    _, t = _link_scores(spark, sf_dir)
+    return weak_labels.chapter_counts(t.withColumnRenamed("label", "code_3char"), codes(spark, sf_dir))

@@ -70,8 +70,8 @@ def _type_ok(record: str, name: str, kind: str, value: Column) -> Column:
     return null | found.startswith("OBJECT") if kind.startswith("map") else null | ~found.startswith("OBJECT")
 
 
-def parse(lines: DataFrame, record: str) -> DataFrame:
-    """lines(line_no, value) -> line_no, value, record (null if bad), error (null if good). Blank lines go.
+def parse(lines: DataFrame, record: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """lines(line_no, value) -> line_no, value, those to keep, record (null if bad), error (null if good). Blank lines go.
 
     Unknown keys, missing required fields, wrong JSON types and values outside
     an enumeration are errors, with the first one found as the message.
@@ -91,7 +91,7 @@ def parse(lines: DataFrame, record: str) -> DataFrame:
             text = F.try_variant_get("v", f"$.{f.name}", "string")
             error = error.when(text.isNotNull() & ~text.isin(*DOMAINS[record, f.name].split()), F.lit(f"value not allowed: {f.name}"))
     rows = rows.withColumn("error", error)
-    return rows.select("line_no", "value", F.when(F.col("error").isNull(), F.from_json("value", fields)).alias("record"), "error")
+    return rows.select("line_no", "value", *keep, F.when(F.col("error").isNull(), F.from_json("value", fields)).alias("record"), "error")
 
 
 def empty(spark: SparkSession, record: str) -> DataFrame:
