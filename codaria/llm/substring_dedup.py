@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codaria.llm.storage import cut, new_path
-from codaria.llm.textops import GOLD, Words, chunks, mix, runs, words_of
+from codaria.llm.textops import GOLD, Words, chunks, mix, runs, seeded, words_of
 
 _U = np.uint64
 
@@ -68,12 +68,12 @@ class Layout:
     blocks: int
 
 
-def _anchors(words: Words, cfg: SubstringConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes, first words, and each window's anchor hash and position."""
-    h = words.hashes(0)
+def _anchors(words: Words, cfg: SubstringConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, window hashes, first words, and each window's anchor hash and position."""
+    h = words.hashes()
     value, start = runs(h, words.doc, cfg.window, 0)
     if not len(start):
-        return value, start, value, start
+        return h, value, start, value, start
     sub, _ = runs(h, np.zeros(len(h), np.int8), cfg.anchor, 0)  # runs over document ends are never inside a window
     best, width, reach = np.arange(len(sub)), 1, cfg.window - cfg.anchor + 1
 
@@ -86,7 +86,7 @@ def _anchors(words: Words, cfg: SubstringConfig) -> tuple[np.ndarray, np.ndarray
     if width < reach:
         best = least(best[: len(best) - (reach - width)], best[reach - width :])
     at = best[start]
-    return value, start, sub[at], at
+    return h, value, start, sub[at], at
 
 
 @np.errstate(over="ignore")
@@ -119,6 +119,7 @@ class Piece:
     lo: int
     hi: int
     words: Words
+    hashes: np.ndarray
     value: np.ndarray
     start: np.ndarray
     anchor: np.ndarray
@@ -190,7 +191,7 @@ def _windows(pieces: list[Piece], bits: dict[int, bytes], lay: Layout, cfg: Subs
             if len(p.anchor):
                 o &= passed[np.searchsorted(cell, _cells(p.anchor, row, lay.cells))]
     a = _joined([p.value[o] for p, o in zip(pieces, ok, strict=True)])
-    b = _joined([runs(p.words.hashes(1), p.words.doc, cfg.window, 1)[0][o] for p, o in zip(pieces, ok, strict=True) if o.any()])
+    b = _joined([runs(seeded(p.hashes, 1), p.words.doc, cfg.window, 1)[0][o] for p, o in zip(pieces, ok, strict=True) if o.any()])
     block = (a % _U(lay.blocks)).astype(np.int64)
     order = np.lexsort((b, a, block))
     fresh = np.ones(len(a), bool)

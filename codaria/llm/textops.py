@@ -3,7 +3,10 @@
 A word is a maximal run of characters other than space and U+0009..U+000D.
 All separators are ASCII, so words can be found on the bytes of UTF-8 text.
 Word hashes are 64-bit polynomials over bytes with a random table and an odd
-base, finished by a bijective mixer; two independent seeds give 128 bits.
+base, finished by a bijective mixer. Runs of words are polynomials over these
+hashes; two of them, over word hashes mixed in two ways and with two bases, give a
+run 128 bits, so that runs of different words differ but for words that share
+their 64 bits.
 """
 
 from __future__ import annotations
@@ -43,8 +46,8 @@ def _table(seed: int) -> np.ndarray:
     return mix((np.arange(256, dtype=_U) + _U(1 + 256 * seed)) * GOLD)
 
 
-TABLES = [_table(0), _table(1)]
-BASES = [_U(0x9FB21C651E98DF25), _U(0xD6E8FEB86659FD93)]
+TABLE = _table(0)
+BASE = _U(0x9FB21C651E98DF25)
 WORD_BASES = [_U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)]
 
 
@@ -66,7 +69,7 @@ class Words:
     first: np.ndarray  #: words before each document; one entry more than documents
     text_begin: np.ndarray  #: first byte of each document
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
+    def hashes(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, _U)
         out = np.empty(len(self.start), _U)
@@ -75,11 +78,17 @@ class Words:
             at = np.cumsum(length) - length
             within = np.arange(int(length.sum())) - np.repeat(at, length)
             byte = self.data[within + np.repeat(start, length)]
-            terms = TABLES[seed][byte] * _powers(BASES[seed], int(length.max()))[within]
+            terms = TABLE[byte] * _powers(BASE, int(length.max()))[within]
             out[lo : lo + HASH_WORDS] = mix(np.add.reduceat(terms, at) + length.astype(_U) * GOLD)
         return out
 
 
+@np.errstate(over="ignore")
+def seeded(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Word hashes as the runs of a seed take them."""
+    return mix(hashes + _U(seed) * GOLD) if seed else hashes
+
+
 def words_of(column: pa.Array, lower: bool = False) -> Words:
     """Words of each text of an Arrow string column; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -159,8 +168,9 @@ def shingle_sets(words: Words, k: int = 5, seeds: tuple[int, ...] = (0,)) -> tup
     found = []
     short = np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < k))
     where = None
+    plain = words.hashes()
     for seed in seeds:
-        h = words.hashes(seed)
+        h = seeded(plain, seed)
         value, where = runs(h, words.doc, k, seed)
         extra = np.zeros(len(short), _U)
         for j, d in enumerate(short):

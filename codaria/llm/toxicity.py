@@ -83,7 +83,7 @@ def _begins(words: Words) -> np.ndarray:
 
 
 def _distinct(words: Words) -> tuple[list[str], np.ndarray, np.ndarray]:
-    h = words.hashes(0)
+    h = words.hashes()
     key, first, which = np.unique(h, return_index=True, return_inverse=True)
     raw = words.data.tobytes()
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first], words.end[first], strict=True)], which, key
@@ -237,7 +237,7 @@ Memo = list[dict[int, float]]
 
 def _lookup(words: Words, memo: Memo, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Emissions of the distinct words, and which one stands at each position; memo is bounded and by hash."""
-    key, first, which = np.unique(words.hashes(0), return_index=True, return_inverse=True)
+    key, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
     if len(memo[0]) > MEMO:
         memo[:] = [{}, memo[0]]
     known, older = memo
