@@ -5,16 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows with the number of all spans and of added ones in the place of found."""
+    n = F.size("found").cast("long").alias("n_spans")
+    return rows.select(*[c for c in rows.columns if c != "found"], n, F.size(F.filter("found", lambda s: s["added"])).cast("long").alias("n_added"))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codaria.llm.pii import find_pii
 
-    return find_pii(_table(spark, sf_dir, "documents")).drop("found")
+    return _counted(find_pii(_table(spark, sf_dir, "documents")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from codaria.llm.secret_scan import SecretConfig, scan_secrets
 
-    return scan_secrets(_table(spark, sf_dir, "documents"), SecretConfig(vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))).drop("found")
+    return scan_secrets(_table(spark, sf_dir, "documents"), SecretConfig(vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))).transform(_counted)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
