@@ -29,7 +29,7 @@ GOLD = _U(0x9E3779B97F4A7C15)
 MIX1 = _U(0xBF58476D1CE4E5B9)
 MIX2 = _U(0x94D049BB133111EB)
 #: Bytes of text whose temporary arrays are held at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Words hashed at once.
 HASH_WORDS = 1 << 18
 

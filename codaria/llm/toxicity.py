@@ -55,6 +55,8 @@ class ToxicityModel:
 
 #: Words whose emissions a worker remembers of either generation: those met since the last turn, and those of the turn before.
 MEMO = 1 << 18
+#: Bytes of text scored at once; a word is looked up once in them.
+CHUNK_BYTES = 2 << 20
 
 
 def held_out(doc_id):
@@ -190,7 +192,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = To
         m = model.value
         known: Memo = [{}, {}]
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
+            for a, b in chunks(batch.column(1), CHUNK_BYTES):
                 words = words_of(batch.column(1).slice(a, b - a))
                 n = b - a
                 if m.chain is None:
@@ -219,7 +221,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxicit
         m = model.value
         known: Memo = [{}, {}]
         for batch in batches:
-            for a, b in chunks(batch.column(at)):
+            for a, b in chunks(batch.column(at), CHUNK_BYTES):
                 part = batch.slice(a, b - a)
                 if m.chain is None:
                     score = m.score(*(np.zeros(b - a),) * 3)
