@@ -48,14 +48,18 @@ def word_features(word: str) -> list[int]:
     return out
 
 
-def _messages(trans: np.ndarray) -> np.ndarray:
-    """Normalised row vectors v_t = v_(t-1) trans_t from a uniform v; trans [n, 2, 2] -> [n, 2]."""
-    n = len(trans)
+def _messages(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised row vectors (x, y) of v_t = v_(t-1) [[a, b], [c, d]]_t from a uniform v."""
+    n = len(a)
     width = -(-n // SEGMENT)
-    padded = np.empty((width * SEGMENT, 2, 2))
-    padded[:n], padded[n:] = trans, np.eye(2)
-    # positions first, so that each step reads contiguous rows
-    a, b, c, d = (np.ascontiguousarray(padded[:, i, j].reshape(width, SEGMENT).T) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)))
+
+    def folded(x: np.ndarray, rest: float) -> np.ndarray:
+        # positions first, so that each step reads contiguous rows
+        out = np.full(width * SEGMENT, rest)
+        out[:n] = x
+        return np.ascontiguousarray(out.reshape(width, SEGMENT).T)
+
+    a, b, c, d = folded(a, 1.0), folded(b, 0.0), folded(c, 0.0), folded(d, 1.0)
     m00, m01, m10, m11 = np.ones(width), np.zeros(width), np.zeros(width), np.ones(width)
     for t in range(SEGMENT):
         m00, m01, m10, m11 = m00 * a[t] + m01 * c[t], m00 * b[t] + m01 * d[t], m10 * a[t] + m11 * c[t], m10 * b[t] + m11 * d[t]
@@ -70,13 +74,13 @@ def _messages(trans: np.ndarray) -> np.ndarray:
         z = x + y
         x, y = x / z, y / z
     x, y = first[:, 0].copy(), first[:, 1].copy()
-    out = np.empty((2, SEGMENT, width))
+    left, right = np.empty((SEGMENT, width)), np.empty((SEGMENT, width))
     for t in range(SEGMENT):
         x, y = x * a[t] + y * c[t], x * b[t] + y * d[t]
         z = x + y
         x, y = x / z, y / z
-        out[0, t], out[1, t] = x, y
-    return out.transpose(2, 1, 0).reshape(-1, 2)[:n]
+        left[t], right[t] = x, y
+    return left.T.reshape(-1)[:n], right.T.reshape(-1)[:n]
 
 
 @dataclass
@@ -95,30 +99,32 @@ class Chain:
         scores = self._scores
         return sum([scores[i] for i in word_features(word)])
 
-    def messages(self, emission: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward messages that include each word's emission, and backward ones that don't; [n, 2] each."""
+    def messages(self, emission: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the clean and the toxic state, forward messages that include each word's emission, then backward ones that don't."""
+        toxic = 1 / (1 + np.exp(-np.clip(emission, -30, 30)))
+        clean = 1 - toxic
+        t, s = np.exp(self.trans), np.exp(self.start)
+        a, b = np.where(begins, s[0], t[0, 0]) * clean, np.where(begins, s[1], t[0, 1]) * toxic
+        c, d = np.where(begins, s[0], t[1, 0]) * clean, np.where(begins, s[1], t[1, 1]) * toxic
+        f0, f1 = _messages(a, b, c, d)
         n = len(emission)
-        e = np.exp(np.clip(emission, -30, 30))
-        local = np.stack([1 / (1 + e), e / (1 + e)], axis=1)
-        hop = np.broadcast_to(np.exp(self.trans), (n, 2, 2)).copy()
-        hop[begins] = np.exp(self.start)
-        step = hop * local[:, None, :]
-        forward = _messages(step)
-        back = step[1:][::-1].transpose(0, 2, 1)
-        after = np.flatnonzero(begins[1:][::-1])
-        back[after] = 1.0  # a text's last word has nothing behind it
-        backward = np.ones((n, 2))
+        b0, b1 = np.ones(n), np.ones(n)
         if n > 1:
-            backward[:-1] = _messages(back)[::-1]
-        return forward, backward
+            after = np.flatnonzero(begins[1:][::-1])
+            back = [x[1:][::-1].copy() for x in (a, c, b, d)]
+            for x in back:
+                x[after] = 1.0  # a text's last word has nothing behind it
+            g0, g1 = _messages(*back)
+            b0[:-1], b1[:-1] = g0[::-1], g1[::-1]
+        return f0, f1, b0, b1
 
     def marginals(self, emission: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Probability of the toxic state for each word, by forward-backward."""
         out = np.zeros(len(emission))
         for lo, hi in _blocks(begins) if len(emission) else ():
-            f, b = self.messages(emission[lo:hi], begins[lo:hi])
-            p = f * b
-            out[lo:hi] = p[:, 1] / p.sum(axis=1)
+            f0, f1, b0, b1 = self.messages(emission[lo:hi], begins[lo:hi])
+            p = f1 * b1
+            out[lo:hi] = p / (f0 * b0 + p)
         return out
 
 
@@ -135,13 +141,17 @@ def _blocks(begins: np.ndarray, size: int = 1 << 16) -> list[tuple[int, int]]:
 
 def _expected(chain: Chain, emission: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of the toxic state, and expected counts of transitions and of first states."""
-    f, b = chain.messages(emission, begins)
-    p = f * b
-    p = p[:, 1] / p.sum(axis=1)
-    e = 1 / (1 + np.exp(-np.clip(emission, -30, 30)))
+    f0, f1, b0, b1 = chain.messages(emission, begins)
+    p = f1 * b1
+    p = p / (f0 * b0 + p)
+    toxic = 1 / (1 + np.exp(-np.clip(emission, -30, 30)))
     inner = np.flatnonzero(~begins)
-    pair = f[inner - 1][:, :, None] * np.exp(chain.trans)[None] * (np.stack([1 - e, e], axis=1) * b)[inner][:, None, :]
-    pair = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    t = np.exp(chain.trans)
+    g0, g1 = ((1 - toxic) * b0)[inner], (toxic * b1)[inner]
+    h0, h1 = f0[inner - 1], f1[inner - 1]
+    parts = [h0 * g0 * t[0, 0], h0 * g1 * t[0, 1], h1 * g0 * t[1, 0], h1 * g1 * t[1, 1]]
+    whole = 1 / (parts[0] + parts[1] + parts[2] + parts[3])
+    pair = np.array([(x * whole).sum() for x in parts]).reshape(2, 2)
     return p, pair, np.array([(1 - p[begins]).sum(), p[begins].sum()])
 
 
