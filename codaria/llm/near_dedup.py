@@ -50,8 +50,8 @@ class NearDedupConfig:
     block_docs: int = 2048
     block_shingles: int = 2_000_000
     #: Smaller groups are cut into up to this many blocks too, of no fewer documents than these.
-    spread_blocks: int = 12
-    spread_docs: int = 256
+    spread_blocks: int = 16
+    spread_docs: int = 192
 
 
 @np.errstate(over="ignore")

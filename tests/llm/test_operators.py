@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codaria.llm.textops import words_of
 
@@ -94,11 +95,14 @@ def test_signature_estimates_similarity():
     assert (np.sort(sig[2] >> np.uint64(32)) < 256).all() and (sig[3] == sig[3][0]).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("least", [256, 3])
+def test_components(spark, monkeypatch, least):
+    from codaria.llm import skew
     from codaria.llm.components import components
 
+    monkeypatch.setattr(skew, "LEAST", least)
     rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(None, 1), (7, 7), (500, 3), (500, 3)]
+    edges = [(1000 + i * 7 % 300, 1299) for i in range(300)] + [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(None, 1), (7, 7), (500, 3), (500, 3)]
     root = {}
 
     def find(x):
@@ -114,6 +118,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_spread_join(spark, monkeypatch):
+    from codaria.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 2 + [None] * 9 + [3] * 4 + [9])], "k int, i int")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "k int, v string")
+    got = sorted((r["k"], r["i"], r["v"]) for r in skew.spread_join(rows, table, ["k"]).collect())
+    assert got == sorted((k, i, {1: "a", 2: "b", 3: "c"}[k]) for k, i in ((r["k"], r["i"]) for r in rows.collect()) if k in (1, 2, 3))
+    assert skew.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), 66, ["k"]).count() == 3
+
+
 @pytest.mark.parametrize("cells", [1 << 20, 1 << 4])
 def test_substring_dedup(docs, none, rows, cells):
     from codaria.llm.substring_dedup import SubstringConfig, remove_repeats
