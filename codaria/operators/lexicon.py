@@ -138,7 +138,8 @@ def contained_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
     are cut into pieces by hash, and each piece is one more pass. Null keys and
     texts have no finds; an empty key is in every text.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    # null texts are left to the finder: a filter would compute the text twice, the first time below any exchange
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     keys = keys.select("key").filter("key IS NOT NULL").distinct()
     size = keys.agg(F.count("*"), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
     parts = max(1, -(-size[0] // KEY_ROWS), -(-size[1] // KEY_CHARS))
@@ -159,6 +160,8 @@ def _finder(needles):
             row, key, total = [], [], []
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
+                if text is None:
+                    continue
                 for j in known.within(text):
                     row.append(i)
                     key.append(known.keys[j])
