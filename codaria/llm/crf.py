@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -157,9 +158,12 @@ def _expected(chain: Chain, emission: np.ndarray, begins: np.ndarray) -> tuple[n
 
 def fit_chain(words: list[str], which: np.ndarray, begins: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: float = 0.3, ridge: float = 2e-4) -> Chain:
     """Maximum likelihood by full-batch Adam. words: distinct ones; which: the index of each position's word."""
-    slots = [word_features(w) for w in words]
-    flat = np.array([s for row in slots for s in row])
-    owner = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+    slots, ends = array("i"), array("i")
+    for w in words:
+        slots.extend(word_features(w))
+        ends.append(len(slots))
+    flat = np.frombuffer(slots, np.int32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(ends, prepend=0))
     n, y = len(which), labels.astype(np.int64)
     chain = Chain(np.zeros(SLOTS), np.zeros((2, 2)), np.zeros(2))
     seen = np.unique(flat)

@@ -116,6 +116,20 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, start, end, doc, first, offsets[:-1])
 
 
+def words_by_pieces(column: pa.Array) -> Words:
+    """words_of, with temporary arrays of a piece only."""
+    parts = [(lo, words_of(column.slice(lo, hi - lo))) for lo, hi in chunks(column)]
+    if not parts:
+        return words_of(column)
+    begin = np.cumsum([0, *(len(w.data) for _, w in parts)])
+    count = np.cumsum([0, *(len(w.start) for _, w in parts)])
+    joined = lambda f: np.concatenate([f(w, i) for i, (_, w) in enumerate(parts)])
+    first = np.append(joined(lambda w, i: w.first[:-1] + count[i]), count[-1])
+    return Words(
+        joined(lambda w, i: w.data), joined(lambda w, i: w.start + begin[i]), joined(lambda w, i: w.end + begin[i]), joined(lambda w, i: w.doc + parts[i][0]), first, joined(lambda w, i: w.text_begin + begin[i])
+    )
+
+
 @np.errstate(over="ignore")
 def runs(hashes: np.ndarray, doc: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of k consecutive words of one document, and each run's first word."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from codaria.llm.crf import OUTER, Chain, fit_chain
 from codaria.llm.near_dedup import unite
 from codaria.llm.storage import cut
-from codaria.llm.textops import Words, chunks, shingle_sets, words_of
+from codaria.llm.textops import Words, chunks, shingle_sets, words_by_pieces, words_of
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ class ToxicityModel:
 
 
 #: Words whose emissions a worker remembers of either generation: those met since the last turn, and those of the turn before.
-MEMO = 1 << 18
+MEMO = 1 << 17
 #: Bytes of text scored at once; a word is looked up once in them.
 CHUNK_BYTES = 2 << 20
 
@@ -91,12 +91,14 @@ def _distinct(words: Words) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[first], words.end[first], strict=True)], which, key
 
 
-def _toxic_words(words: Words, names: list[str], which: np.ndarray, toxic: np.ndarray, cfg: ToxicityConfig) -> np.ndarray:
+def _toxic_words(column: pa.Array, words: Words, names: list[str], which: np.ndarray, toxic: np.ndarray, cfg: ToxicityConfig) -> np.ndarray:
     """Which distinct words are labelled toxic, by their letters or by their first letters, as inflected words share."""
-    (value,), doc = shingle_sets(words)
-    n = len(toxic)
-    first = np.searchsorted(doc, np.arange(n + 1))
-    group = unite([value[first[i] : first[i + 1]] for i in range(n)], 20)
+    n, sets = len(toxic), []
+    for lo, hi in chunks(column):
+        (value,), doc = shingle_sets(words_of(column.slice(lo, hi - lo)))
+        first = np.searchsorted(doc, np.arange(hi - lo + 1))
+        sets += [value[first[i] : first[i + 1]] for i in range(hi - lo)]
+    group = unite(sets, 20)
     groups = np.unique(group)
     label = np.zeros(n, bool)
     np.logical_or.at(label, group, toxic)
@@ -127,9 +129,10 @@ def fit(texts: list[str], toxic: np.ndarray, shares: tuple[float, float], cfg: T
     """shares: the parts of clean and toxic documents among all labels."""
     if not toxic.any() or toxic.all():
         return ToxicityModel(None, np.zeros(4), float(toxic.mean()) if len(toxic) else 0.0)
-    words = words_of(pa.array(texts, pa.large_string()))
+    column = pa.array(texts, pa.large_string())
+    words = words_by_pieces(column)
     names, which, _ = _distinct(words)
-    bad = _toxic_words(words, names, which, toxic, cfg)
+    bad = _toxic_words(column, words, names, which, toxic, cfg)
     begins = _begins(words)
     chain = fit_chain(names, which, begins, bad[which] & toxic[words.doc], cfg.rounds)
     emission = np.array([chain.emission(w) for w in names])[which]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codaria.llm import textops
 from codaria.llm.textops import words_of
 
 DOCS = "doc_id long, text string, source string, n int"
@@ -54,6 +55,8 @@ def test_words(rows):
     w = words_of(pa.array(texts))
     got = [[bytes(w.data[w.start[k] : w.end[k]]) for k in range(w.first[i], w.first[i + 1])] for i in range(len(texts))]
     assert got == [(t or "").encode().split() for t in texts]
+    whole, pieces = words_of(pa.array(texts * 30)), textops.words_by_pieces(pa.array(texts * 30))
+    assert all(np.array_equal(getattr(whole, f), getattr(pieces, f)) for f in ("data", "start", "end", "doc", "first", "text_begin"))
 
 
 def test_near_duplicates(docs, none, rows):
