@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codaria.functions import text as T
-from codaria.operators import metrics, ontology, rule_based, spans
+from codaria.operators import encoder, metrics, ontology, rule_based, spans, vectors
 from codaria.plans.queries import _IN, SQL_LINKS, SQL_MERGED, S, _link_scores, query, sql_strip, table
 from codaria.sources import io
 
@@ -222,3 +222,38 @@ def evaluation(spark, sf_dir):
     made = rule_based.predictions(scores.withColumnRenamed("label", "code"), 5).select("doc_id", F.map_from_entries("ranked").alias("scores"))
     found = metrics.evaluate(made, truth.groupBy("doc_id").agg(F.collect_set("label").alias("silver_labels")))
     return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items() if not k.endswith("auroc")], "metric string, value double")
+
+
+@query("SELECT 'corpus' AS dataset_name, 'train' AS source_split, doc_id::VARCHAR AS source_record_id, text, n_chars, 'parquet' AS source_format, '1' AS ingest_version FROM documents")
+def snapshot_records(spark, sf_dir):
+    """Snapshots of the file of documents, with two fields of their payload."""
+    path = f"{sf_dir}/documents.parquet"
+    rows = io.snapshots(spark.read.parquet(path), "corpus", "train", io.Source("parquet", {}, "doc_id"), path)
+    field = lambda name, kind: F.try_variant_get("payload", f"$.{name}", kind).alias(name)
+    return rows.select("dataset_name", "source_split", "source_record_id", field("text", "string"), field("n_chars", "long"), "source_format", "ingest_version")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^{_IN}]+|[{_IN}]+') AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, t[i] AS text, sum(length(t[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t, unnest(range(1, len(t) + 1)) AS u(i)),
+k AS (SELECT doc_id, text, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS pos FROM w WHERE regexp_matches(text, '^[^{_IN}]'))
+SELECT doc_id::VARCHAR AS doc_id, pos::INT AS pos, (e - length(text))::INT AS char_start, e::INT AS char_end, text FROM k
+UNION ALL SELECT doc_id::VARCHAR, 0, NULL, NULL, NULL FROM t UNION ALL SELECT doc_id::VARCHAR, (coalesce((SELECT max(pos) FROM k WHERE k.doc_id = t.doc_id), 0) + 1)::INT, NULL, NULL, NULL FROM t"""
+)
+def token_alignment(spark, sf_dir):
+    """The piece of a document that each token of the stand-in encoder stands for."""
+    return encoder.align(io.spread(table(spark, sf_dir, "documents")), encoder.HashEncoder(1)).drop("token_id")
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS label, embedding::DOUBLE[] AS q FROM embeddings), t AS (SELECT label AS doc_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 < 8),
+s AS (SELECT doc_id, label, v, list_dot_product(q, v) AS s, list_dot_product(q, v) AS own FROM t, q), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id, label)) AS e FROM s)
+SELECT doc_id, label, round(sum(e * own) / sum(e) + label / 1000.0, 6)::DOUBLE AS logit FROM e GROUP BY 1, 2"""
+)
+def label_head(spark, sf_dir):
+    """The attention head whose label queries are its class weights too; each vector is a label and each group a document."""
+    every = table(spark, sf_dir, "embeddings")
+    own = every.select(F.col("vec_id").alias("label"), F.posexplode("embedding").alias("dim", "value"))
+    weights = own.select("label", "dim", F.col("value").cast("double").alias("w"), (F.col("label") / 1000).alias("bias"))
+    tokens = every.select(F.col("label").alias("doc_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), (F.col("vec_id") % 10 < 8).alias("mask"))
+    return vectors.head(tokens, own, weights, 64).select("doc_id", "label", F.round("logit", 6).alias("logit"))
