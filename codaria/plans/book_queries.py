@@ -186,7 +186,8 @@ def sentence_offsets(spark, sf_dir):
 
 @query(
     rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[{_W}]+|[^{_W}]+') AS t FROM documents),
-w AS (SELECT doc_id, t[i] AS text, sum(length(t[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t, unnest(range(1, len(t) + 1)) AS u(i))
+v AS (SELECT doc_id, unnest(t) AS text, unnest(range(1, len(t) + 1)) AS i FROM t),
+w AS (SELECT doc_id, text, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM v)
 SELECT doc_id || ':m:' || (e - length(text))::INT || ':' || e::INT AS mention_id, 'abbreviation' AS mention_type, text, (e - length(text))::INT AS char_start, e::INT AS char_end FROM w WHERE regexp_full_match(text, '[A-Z]{{2,6}}') AND text NOT IN ('CHO', 'KHI', 'RA')"""
 )
 def abbreviation_mentions(spark, sf_dir):
@@ -235,10 +236,11 @@ def snapshot_records(spark, sf_dir):
 
 @query(
     f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^{_IN}]+|[{_IN}]+') AS t FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, t[i] AS text, sum(length(t[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t, unnest(range(1, len(t) + 1)) AS u(i)),
+v AS (SELECT doc_id, unnest(t) AS text, unnest(range(1, len(t) + 1)) AS i FROM t),
+w AS (SELECT doc_id, text, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM v),
 k AS (SELECT doc_id, text, e, row_number() OVER (PARTITION BY doc_id ORDER BY e) AS pos FROM w WHERE regexp_matches(text, '^[^{_IN}]'))
 SELECT doc_id::VARCHAR AS doc_id, pos::INT AS pos, (e - length(text))::INT AS char_start, e::INT AS char_end, text FROM k
-UNION ALL SELECT doc_id::VARCHAR, 0, NULL, NULL, NULL FROM t UNION ALL SELECT doc_id::VARCHAR, (coalesce((SELECT max(pos) FROM k WHERE k.doc_id = t.doc_id), 0) + 1)::INT, NULL, NULL, NULL FROM t"""
+UNION ALL SELECT doc_id::VARCHAR, 0, NULL, NULL, NULL FROM t UNION ALL SELECT doc_id::VARCHAR, (coalesce(n, 0) + 1)::INT, NULL, NULL, NULL FROM t LEFT JOIN (SELECT doc_id, max(pos) AS n FROM k GROUP BY doc_id) USING (doc_id)"""
 )
 def token_alignment(spark, sf_dir):
     """The piece of a document that each token of the stand-in encoder stands for."""
