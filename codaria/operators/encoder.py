@@ -15,11 +15,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codaria.functions import text as T
+from codaria.functions.batches import CELLS, ROWS, pairs
 from codaria.operators import vectors
 
 Token = tuple[int, Sequence[float], int | None, int | None]
@@ -35,34 +36,75 @@ class HashEncoder:
 
     dim: int = 8
 
-    def _vector(self, word: str) -> list[float]:
+    def _word(self, word: str) -> tuple[int, list[float]]:
         digest = hashlib.sha256(word.encode()).digest()
-        return [digest[i % 32] / 127.5 - 1 for i in range(self.dim)]
+        return int.from_bytes(digest[:4], "big") >> 1, [digest[i % 32] / 127.5 - 1 for i in range(self.dim)]
 
     def encode(self, texts: list[str], max_length: int | None) -> list[list[Token]]:
-        out = []
+        out, known = [], {}
         for text in texts:
-            words = [(int.from_bytes(hashlib.sha256(m.group().encode()).digest()[:4], "big") >> 1, self._vector(m.group()), m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+            words = []
+            for m in re.finditer(r"\S+", text):
+                if (found := known.get(word := m.group())) is None:
+                    found = known[word] = self._word(word)
+                words.append((*found, m.start(), m.end()))
             if max_length:
                 words = words[: max(0, max_length - 2)]
-            out.append([(0, self._vector("<s>"), None, None), *words, (1, self._vector("</s>"), None, None)])
+            out.append([(0, self._word("<s>")[1], None, None), *words, (1, self._word("</s>")[1], None, None)])
         return out
 
 
 TOKENS = "doc_id string, pos int, token_id long, vector array<double>, mask boolean, char_start int, char_end int"
 
 
+#: Texts, and characters of texts, that an encoder gets at once, but for one text's own.
+TEXTS, CHARS = 64, 1 << 18
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, max_length: int | None) -> Iterator[tuple[str, str, list[Token]]]:
+    """Id, text and tokens of batches(doc_id, text), encoded in small groups; null texts go."""
+    group, chars = [], 0
+    for doc, text in pairs(batches):
+        if text is not None:
+            group.append((doc, text))
+            chars += len(text)
+        if len(group) >= TEXTS or chars >= CHARS:
+            yield from ((*g, t) for g, t in zip(group, encoder.encode([t for _, t in group], max_length), strict=True))
+            group, chars = [], 0
+    if group:
+        yield from ((*g, t) for g, t in zip(group, encoder.encode([t for _, t in group], max_length), strict=True))
+
+
+def _in_columns(texts: Iterator[tuple[str, str, list[Token]]], schema: pa.Schema, columns) -> Iterator[pa.RecordBatch]:
+    """Batches of what columns(doc, text, first place, tokens) makes of some tokens of a text, a list a column, by column, as rows are too many for a tuple each."""
+    held = [[] for _ in schema]
+    for doc, text, tokens in texts:
+        step = max(1, min(ROWS, CELLS // max(1, len(tokens[0][1])))) if tokens else 1
+        for lo in range(0, len(tokens), step):
+            for all_, new in zip(held, columns(doc, text, lo, tokens[lo : lo + step]), strict=True):
+                all_.extend(new)
+            if len(held[0]) >= step:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, schema.types, strict=True)], schema=schema)
+                held = [[] for _ in schema]
+    if held[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, schema.types, strict=True)], schema=schema)
+
+
+def _places(doc: str, lo: int, tokens: list[Token]) -> tuple:
+    return [doc] * len(tokens), range(lo, lo + len(tokens)), [t[0] for t in tokens]
+
+
 def encode_texts(texts: DataFrame, encoder: Encoder, max_length: int | None = None) -> DataFrame:
     """texts(doc_id, text) -> TOKENS: one row a token, in the encoder's order; null texts have none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = encoder.encode(f["text"].tolist(), max_length)
-            rows = [(d, i, t, [float(x) for x in v], True, a, b) for d, tokens in zip(f["doc_id"], found, strict=True) for i, (t, v, a, b) in enumerate(tokens)]
-            out = pd.DataFrame(rows, columns=["doc_id", "pos", "token_id", "vector", "mask", "char_start", "char_end"])
-            yield out.astype({"char_start": "Int32", "char_end": "Int32"})
+    def columns(doc, text, lo, tokens):
+        return *_places(doc, lo, tokens), [[float(x) for x in t[1]] for t in tokens], [True] * len(tokens), [t[2] for t in tokens], [t[3] for t in tokens]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema({"doc_id": pa.string(), "pos": pa.int32(), "token_id": pa.int64(), "vector": pa.list_(pa.float64()), "mask": pa.bool_(), "char_start": pa.int32(), "char_end": pa.int32()})
+        return _in_columns(_encoded(batches, encoder, max_length), schema, columns)
 
-    return texts.select(F.col("doc_id").cast("string"), "text").filter("text IS NOT NULL").mapInPandas(run, TOKENS)
+    return texts.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, TOKENS)
 
 
 def encode_documents(docs: DataFrame, encoder: Encoder, max_length: int | None = None) -> DataFrame:
@@ -98,11 +140,17 @@ def align(texts: DataFrame, encoder: Encoder, max_length: int | None = None, enc
     encoded: tokens of an earlier run; raises ValueError unless its documents, token
     ids and masks are exactly these.
     """
-    tokens = encode_texts(texts, encoder, max_length)
     if encoded is not None:
+        tokens = encode_texts(texts, encoder, max_length)
         key = ["doc_id", "pos", "token_id", "mask"]
         if not tokens.select(key).exceptAll(encoded.select(key)).isEmpty() or not encoded.select(key).exceptAll(tokens.select(key)).isEmpty():
             raise ValueError("tokens differ from the encoder's")
-    source = texts.select(F.col("doc_id").cast("string"), F.col("text").alias("source"))
-    piece = F.substring("source", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    return tokens.join(source, "doc_id").select("doc_id", "pos", "token_id", "char_start", "char_end", F.when(F.col("char_start").isNotNull(), piece).alias("text"))
+
+    def columns(doc, text, lo, tokens):
+        return *_places(doc, lo, tokens), [t[2] for t in tokens], [t[3] for t in tokens], [None if t[2] is None else text[t[2] : t[3]] for t in tokens]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema({"doc_id": pa.string(), "pos": pa.int32(), "token_id": pa.int64(), "char_start": pa.int32(), "char_end": pa.int32(), "text": pa.string()})
+        return _in_columns(_encoded(batches, encoder, max_length), schema, columns)
+
+    return texts.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, "doc_id string, pos int, token_id long, char_start int, char_end int, text string")
