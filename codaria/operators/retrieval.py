@@ -148,6 +148,20 @@ def _index(posting: DataFrame, item: str, cosine: bool) -> Index:
     return Index(terms, by_query, first, pc.index_in(rows[item].combine_chunks(), items).to_numpy()[order].astype(np.int64), rows["w"].to_numpy()[order], items, cosine)
 
 
+#: Tokens of the rows that are ranked at once, but for one row's own.
+TOKENS = 1 << 18
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of (query, tokens) in slices of about TOKENS tokens."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def search(docs: DataFrame, query: str, tokens: Column, corpus: DataFrame, item: str, method: str, k: int, digits: int = 9, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query, item, raw, score, rank: the k best items of corpus(item, term, tf) for each row of docs, by (raw desc, item).
 
@@ -166,7 +180,7 @@ def search(docs: DataFrame, query: str, tokens: Column, corpus: DataFrame, item:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             row, at, raw, rank = ix.top(batch.column(1), k, digits)
             score = raw / raw[np.searchsorted(row, row)]  # the first of a row is its best
             columns = [batch.column(0).take(pa.array(row)), ix.items.take(pa.array(at)), pa.array(raw), pa.array(score), pa.array(rank, pa.int32())]
